@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, scratch, tokenio
+from . import packing, quality, scratch, tokenio, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 0, with_ids=False)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "shards")
     tokenio.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), 1)
@@ -35,7 +43,9 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op2_packing": op2_packing,
+        "op4_urls": op4_urls,
         "op10_token_blocks": op10_token_blocks,
     }
 
