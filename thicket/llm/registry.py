@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, scratch, tokenio, urls
+from . import licenses, packing, quality, scratch, secrets, tokenio, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "shards")
     tokenio.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), 1)
@@ -46,6 +54,8 @@ def queries() -> dict[str, Query]:
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op4_urls": op4_urls,
+        "op7_licenses": op7_licenses,
+        "op9_secrets": op9_secrets,
         "op10_token_blocks": op10_token_blocks,
     }
 
