@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, scratch, secrets, tokenio, urls
+from . import licenses, mixing, packing, quality, scratch, secrets, tokenio, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 0, with_ids=False)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -53,12 +61,17 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
+        "op3_mixing": op3_mixing,
         "op4_urls": op4_urls,
         "op7_licenses": op7_licenses,
+        "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
         "op10_token_blocks": op10_token_blocks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.sql(),
+        "op8_topk": topk.SQL,
+    }
