@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, scratch, secrets, tokenio, topk, urls
+from . import licenses, mixing, neardup, packing, quality, scratch, secrets, tokenio, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": op2_packing,
         "op3_mixing": op3_mixing,
         "op4_urls": op4_urls,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_licenses": op7_licenses,
         "op8_topk": op8_topk,
         "op9_secrets": op9_secrets,
