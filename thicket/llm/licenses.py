@@ -89,7 +89,7 @@ def scan(docs: DataFrame, rarest: int = RAREST, least_covered: float = LEAST_COV
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} - set(COMMON))
     asked = sorted({*vocabulary, "cc", "license", "reserved"})
-    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    lowered = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     cut = lowered.withColumn("cut", F.split("low", BETWEEN))
     some = F.arrays_overlap("cut", F.array(*map(F.lit, asked)))
     n = F.size("cut")

@@ -105,7 +105,8 @@ def _with_factor(df: DataFrame, column: str, factor: dict[str, float], name: str
 def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight (the cell's factor), chance and kept."""
     spark = docs.sparkSession
-    rows = _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text"))
+    rows = scratch.only(docs, "doc_id", "source", "lang", "text")
+    rows = _measured(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
     rows = rows.select("doc_id", *(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("n_tokens"))
     rows = scratch.table(rows, "mixing")
     cells = scratch.table(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
@@ -121,13 +122,14 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """The documents kept, with the input's columns."""
     spark = docs.sparkSession
-    rows = _measured(docs)
+    rows, back = scratch.beside(docs, "doc_id", "source", "lang", "text")
+    rows = _measured(rows)
     cells = rows.groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens"))
     factors = rake(scratch.table(cells, "cells"), targets)
     for m in MARGINS:
         rows = _with_factor(rows, f"_{m}", factors[m], f"_f_{m}", spark)
     chance = F.lit(rate) * F.col("_f_source") * F.col("_f_lang") * F.col("_f_topic")
-    return rows.filter(draw(F.col("doc_id")) < chance).select(*docs.columns)
+    return rows.filter(draw(F.col("doc_id")) < chance).select(*back)
 
 
 def sql(documents: str = "documents", rate: float = RATE, rounds: int = ROUNDS) -> str:

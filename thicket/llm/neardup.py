@@ -164,7 +164,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
     """doc_id, key (the text's digest) and class_id, one row a document."""
     spark = docs.sparkSession
     scratch.workers_import(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), _key(F.col("text")).alias("key"))
+    texts = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), _key(F.col("text")).alias("key"))
     signed = texts.mapInArrow(_sign(size, bands, rows), "doc_id long, key binary, bands array<long>")
     signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
@@ -209,8 +209,9 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents with one of each class: that of the least doc_id. Texts without words all stay."""
     found = classes(docs, least)
     gone = found.filter("doc_id <> class_id AND key IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
-    rows = docs.withColumn("_key", _key(F.col("text")))
-    alone = rows.filter("_key IS NULL").select(*docs.columns)
+    rows, back = scratch.beside(docs, "doc_id", "text")
+    rows = rows.withColumn("_key", _key(F.col("text")))
+    alone = rows.filter("_key IS NULL").select(*back)
     rows = rows.filter("_key IS NOT NULL")
-    stay = rows.join(gone, (rows["doc_id"] == gone["_id"]) & (rows["_key"] == gone["_gone"]), "left_anti")
-    return stay.dropDuplicates(["doc_id", "_key"]).select(*docs.columns).unionByName(alone)
+    stay = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti")
+    return stay.dropDuplicates(["doc_id", "_key"]).select(*back).union(alone)

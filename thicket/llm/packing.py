@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     """One row a piece; with `with_ids` also the piece's ids as little-endian unsigned 32-bit values."""
     spark = docs.sparkSession
     scratch.workers_import(spark)
-    stored = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer, end_id), STORED), "packing")
+    stored = scratch.table(scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer, end_id), STORED), "packing")
     # One total for each task of the first pass; Spark's driver holds more than that for each task.
     totals = sorted(stored.groupBy("part").agg(F.sum("n").alias("n")).collect())
     offsets, at = [], 0

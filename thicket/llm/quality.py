@@ -156,22 +156,24 @@ def posterior(votes: list[list[int]], model: tuple[float, list]) -> list[float]:
     return _posterior(cast, model[0], np.array(model[1])).tolist()
 
 
-def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, each rule's vote (`vote_...`), posterior and kept."""
-    spark = docs.sparkSession
-    scratch.workers_import(spark)
-    schema = ", ".join(f"{c} long" for c in ["doc_id", *STATS])
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    named = rules()
-    votes = [f"vote_{n}" for n in named]
-    stats = texts.mapInArrow(_stats, schema).select("doc_id", *COUNTS, *(v.alias(f"vote_{n}") for n, v in named.items()))
-    stats = scratch.table(stats, "quality")
-    # At most 3 ** 9 rows come to the driver, and go back.
+def _model(stats: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The posterior of each vote pattern that occurs, at most 3 ** 9 of them."""
+    votes = [f"vote_{n}" for n in rules()]
     found = sorted(stats.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect())
     patterns = [list(r[:-1]) for r in found]
     model = fit([(p, r[-1]) for p, r in zip(patterns, found)])
     rows = [(*p, q) for p, q in zip(patterns, posterior(patterns, model))]
-    of = spark.createDataFrame(rows, ", ".join(f"{v} tinyint" for v in votes) + ", posterior double")
+    return stats.sparkSession.createDataFrame(rows, ", ".join(f"{v} tinyint" for v in votes) + ", posterior double"), votes
+
+
+def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, the posterior and each rule's vote (`vote_...`)."""
+    scratch.workers_import(docs.sparkSession)
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *STATS])
+    texts = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    cast = [v.alias(f"vote_{n}") for n, v in rules().items()]
+    stats = scratch.table(texts.mapInArrow(_stats, schema).select("doc_id", *COUNTS, *cast), "quality")
+    of, votes = _model(stats)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return (
         stats.join(F.broadcast(of), votes)
@@ -179,3 +181,34 @@ def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         .withColumn("kept", ~failed & (F.col("posterior") >= threshold))
         .select("doc_id", *COUNTS, "base_failed", "kept", "posterior", *votes)
     )
+
+
+def _beside(batches):
+    """Appends STATS to rows whose last column is the text's bytes, which goes."""
+    for batch in batches:
+        rows = [text_stats(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
+        columns = list(zip(*rows)) if rows else [[] for _ in STATS]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names[:-1], *(f"_{s}" for s in STATS)]
+        )
+
+
+def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents kept, with the input's columns.
+
+    Statistics are computed beside the rows, which are written once with their votes, so that no
+    join by id is needed and repeated or missing ids don't matter.
+    """
+    scratch.workers_import(docs.sparkSession)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_raw", F.col(f"c{names.index('text')}").cast("binary"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[:-1]), *(f"_{s} long" for s in STATS)])
+    rows = plain.mapInArrow(_beside, schema)
+    stats = {f"_{s}": s for s in STATS}
+    rows = rows.withColumnsRenamed(stats)
+    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    cast = [v.alias(f"vote_{n}") for n, v in rules().items()]
+    rows = scratch.table(rows.select(*plain.columns[:-1], *cast, failed.alias("failed")), "quality")
+    of, votes = _model(rows)
+    kept = rows.filter("NOT failed").join(F.broadcast(of), votes).filter(F.col("posterior") >= threshold)
+    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, scratch, secrets, tokenio, topk, urls
+from . import licenses, mixing, neardup, packing, quality, scratch, secrets, tokenio, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": op2_packing,
         "op3_mixing": op3_mixing,
         "op4_urls": op4_urls,
+        "op5_toxicity": op5_toxicity,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_licenses": op7_licenses,
         "op8_topk": op8_topk,

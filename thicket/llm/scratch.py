@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _used: set[str] = set()
@@ -47,6 +48,22 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """These columns alone, found by their exact names, whatever other columns are called."""
+    at = df.columns
+    flat = df.toDF(*(f"c{i}" for i in range(len(at))))
+    return flat.select(*(F.col(f"c{at.index(n)}").alias(n) for n in names))
+
+
+def beside(df: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """All columns as c0, c1 and so on, these once more under their names, and what selects the
+    input's columns again: helper columns can't clash with any."""
+    at = df.columns
+    flat = df.toDF(*(f"c{i}" for i in range(len(at))))
+    flat = flat.select("*", *(F.col(f"c{at.index(n)}").alias(n) for n in names))
+    return flat, [F.col(f"c{i}").alias(n) for i, n in enumerate(at)]
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every table of this session; runs at exit too."""
     while _used:

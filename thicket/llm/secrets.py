@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -120,7 +122,8 @@ def spans_of(text: Column, low: Column, long_run: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The input with `base_spans` and `spans` (start, kind, end, text), sorted by start, then kind."""
+    """The input, which needs a column `text` and none of the names made here, with `base_spans` and
+    `spans` (start, kind, end, text), sorted by start, then kind."""
     rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"_low": F.lower("_text"), "_run": F.col("_text").rlike(CANDIDATE.replace(",}", "}"))})
     base, more = spans_of(F.col("_text"), F.col("_low"), F.col("_run"))
@@ -137,7 +140,7 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
-    found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = find(scratch.only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
@@ -156,4 +159,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return find(docs).withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).drop("base_spans", "spans")
+    rows, back = scratch.beside(docs, "text")
+    at = f"c{docs.columns.index('text')}"
+    found = find(rows)
+    return found.withColumn(at, F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).select(*back)

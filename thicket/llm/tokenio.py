@@ -190,7 +190,7 @@ def _read(batches):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Writes the documents' shards to a folder that Spark reaches, in ascending doc_id order."""
     scratch.workers_import(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(_write(tokenizer, end_id), SHARDS).write.parquet(path)

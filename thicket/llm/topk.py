@@ -170,7 +170,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
     spark = vectors.sparkSession
     scratch.workers_import(spark)
     sound = F.forall("value", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 24)))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * scale).alias("value"))
+    rows = scratch.only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * scale).alias("value"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
     rows = rows.select("vec_id", F.transform("value", lambda v: F.floor(v).cast("int")).alias("value"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows, "vectors")
