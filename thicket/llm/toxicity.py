@@ -41,7 +41,7 @@ from . import scratch
 
 SPAN, DECAY = 5, 0.6
 LETTERS = 60  # 0 is a word's edge, 1 to 26 are letters, 27 is a digit, the rest are letters beyond ASCII
-MOST, LONGEST = 1500, 20_000
+MOST, LONGEST = 1200, 20_000
 LANDMARKS, NEGATIVES, ROUNDS, COST = 320, 4000, 3, 3.0
 #: Starting words, at most, and the least likelihood-ratio statistic of one (about 1 in 10,000 by
 #: chance); each gives so many gapped variants, which together weigh as this share of the toxic
@@ -128,21 +128,47 @@ def word_scores(raw: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def features(word: bytes) -> np.ndarray:
     """The whole feature vector of one folded word with its edges."""
-    letters, out = np.frombuffer(word, dtype=np.uint8), np.zeros(LETTERS**3)
-    if len(letters):
-        for index, weight, _ in triples(letters, np.zeros(1, dtype=np.int64)):
-            np.add.at(out, index, weight)
-    return out / norms(np.array([len(letters)]))[0]
+    out = np.zeros(LETTERS**3)
+    for index, weight in _triples_of(word):
+        np.add.at(out, index, weight)
+    return out / norms(np.array([len(word)]))[0]
+
+
+class Basis:
+    """Projects words on the span of landmarks; holds only the triples that occur in them."""
+
+    def __init__(self, landmarks: list[bytes]):
+        parts = [(i, index, weight) for i, w in enumerate(landmarks) for index, weight in _triples_of(w)]
+        self.columns = np.unique(np.concatenate([index for _, index, _ in parts]))
+        self.place = np.full(LETTERS**3, len(self.columns), dtype=np.int32)  # the last column stays 0
+        self.place[self.columns] = np.arange(len(self.columns))
+        marks = np.zeros((len(landmarks), len(self.columns) + 1))
+        for i, index, weight in parts:
+            np.add.at(marks[i], self.place[index], weight)
+        marks /= norms(np.array([len(w) for w in landmarks]))[:, None]
+        values, vectors = np.linalg.eigh(marks @ marks.T)
+        good = values > 1e-6 * values[-1]
+        # Nyström: a word's features are its kernel values with the landmarks times this root.
+        self.rows = marks.T @ (vectors[:, good] / np.sqrt(values[good]))
+
+    def project(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(words), self.rows.shape[1]))
+        for i, w in enumerate(words):
+            for index, weight in _triples_of(w):
+                out[i] += weight * self.rows[self.place[index]].sum(axis=0)
+        return out / norms(np.array([len(w) for w in words]))[:, None]
 
+    def table(self, weight: np.ndarray) -> np.ndarray:
+        """The weight of each triple of letters in the decision that `weight` makes on features."""
+        out = np.zeros(LETTERS**3, dtype=np.float32)
+        out[self.columns] = (self.rows @ weight)[:-1]
+        return out
 
-def projected(words: list[bytes], base: np.ndarray) -> np.ndarray:
-    """features(word) @ base for each word, by its own triples only."""
-    out = np.zeros((len(words), base.shape[1]))
-    for i, w in enumerate(words):
-        if len(w) > 2:
-            for index, weight, _ in triples(np.frombuffer(w, dtype=np.uint8), np.zeros(1, dtype=np.int64)):
-                out[i] += weight * base[index].sum(axis=0)
-    return out / norms(np.array([len(w) for w in words]))[:, None]
+
+def _triples_of(word: bytes):
+    if len(word) > 2:
+        for index, weight, _ in triples(np.frombuffer(word, dtype=np.uint8), np.zeros(1, dtype=np.int64)):
+            yield index, weight
 
 
 def gapped(word: bytes, order: np.random.RandomState) -> bytes:
@@ -184,27 +210,23 @@ class Machine:
         if not seeds or not negatives:
             self.fitted = False
             return
-        marks = np.stack([features(w) for w in [*seeds[: LANDMARKS // 2], *negatives[: LANDMARKS // 2]]])
-        values, vectors = np.linalg.eigh(marks @ marks.T)
-        good = values > 1e-6 * values[-1]
-        root = vectors[:, good] / np.sqrt(values[good])  # Nyström: features are k(x, landmarks) @ root
-        base = marks.T @ root
+        basis = Basis([*seeds[: LANDMARKS // 2], *negatives[: LANDMARKS // 2]])
         # Insults with a letter put in are insults too; the kernel finds most of their triples.
         start = [*seeds, *(gapped(w, order) for w in seeds if len(w) > 6 for _ in range(VARIANTS))]
-        positive, hard, seen = projected(start, base), set(), set(seeds)
-        plain = projected(negatives, base)
+        positive, hard, seen = basis.project(start), set(), set(seeds)
+        plain = basis.project(negatives)
         for _ in range(ROUNDS):
-            others = np.vstack([plain, projected(sorted(hard), base)]) if hard else plain
+            others = np.vstack([plain, basis.project(sorted(hard))]) if hard else plain
             weight, self.bias = _squared_hinge(positive, others)
-            self.table = (base @ weight).astype(np.float32)
+            self.table = basis.table(weight)
             tops = [w for w, s in map(self._top, toxic) if s > 0 and w not in often]
-            positive = projected([*start, *tops], base)
+            positive = basis.project([*start, *tops])
             seen |= set(tops)
             hard |= {w for w, s in map(self._top, clean) if s > -0.7 and w and w not in seen}
         x = [self.figure(t.encode()) for part in (toxic, clean) for t in part]
         y = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
         weights = np.repeat([counts[0] / len(toxic), counts[1] / len(clean)], [len(toxic), len(clean)])
-        more = projected(start[len(seeds) :], base) @ weight + self.bias  # as if each stood in a text
+        more = basis.project(start[len(seeds) :]) @ weight + self.bias  # as if each stood in a text
         x, y = np.append(x, more) if len(more) else np.array(x) if len(more) else np.array(x), np.append(y, np.ones(len(more)))
         weights = np.append(weights, np.full(len(more), VARIANT_SHARE * counts[0] / max(1, len(more))))
         self.slope, self.shift = _curve(x, y, weights / weights.sum())
