@@ -78,10 +78,10 @@ PREDICATES: list[Entry] = [
     ("pred_crosstype_eq", _customers(("c_custkey", "eq", "42")), f"{CUSTOMER} WHERE c_custkey = 42"),
     ("pred_crosstype_range", _customers(("c_custkey", "gt", "1400"), ("id", "ne", 1401)), f"{CUSTOMER} WHERE c_custkey > 1400 AND c_custkey <> 1401"),
     ("pred_type_weight", _customers(("c_custkey", "lt", "no number")), CUSTOMER),
-    ("pred_time", _orders(lambda q: q.where("_time", "gte", 1_700_000_000_000_000).select("o_orderstatus")), f"{ORDER}, o_orderstatus FROM orders WHERE epoch_us(o_orderdate) >= 1700000000000000"),
+    ("pred_time", _orders(lambda q: q.where("_time", "gte", 800_000_000_000_000).select("o_orderstatus")), f"{ORDER}, o_orderstatus FROM orders WHERE epoch_us(o_orderdate) >= 800000000000000"),
     ("pred_absent_field", _customers(("no_such", "ne", 1)), f"{CUSTOMER} WHERE FALSE"),
-    ("pred_contains", _parts(("p_name", "contains", "1")), f"{PART} WHERE contains(p_name, '1')"),
-    ("pred_starts_with", _parts(("p_name", "starts_with", "part 1")), f"{PART} WHERE starts_with(p_name, 'part 1')"),
+    ("pred_contains", _parts(("p_name", "contains", "wid")), f"{PART} WHERE contains(p_name, 'wid')"),
+    ("pred_starts_with", _parts(("p_name", "starts_with", "red ")), f"{PART} WHERE starts_with(p_name, 'red ')"),
     ("pred_match", _documents("match", "The OF"), DOC + f"list_contains({WORDS}, 'the') AND list_contains({WORDS}, 'of')"),
     ("pred_match_prefix", _documents("match_prefix", "tio lic"), DOC + f"len(list_filter({WORDS}, lambda w: starts_with(w, 'tio'))) > 0 AND len(list_filter({WORDS}, lambda w: starts_with(w, 'lic'))) > 0"),
     (
@@ -460,7 +460,7 @@ def _soft(e: Engine) -> DataFrame:
 
 def _versions(e: Engine) -> tuple[DataFrame, DataFrame]:
     """Views as local rows and clicks as remote ones, the latest of each user."""
-    rows = e.collection("events").select(F.col("user_id").cast("string").alias("id"), F.unix_micros("ts").alias("_time"), "event_id", "value", "event_type")
+    rows = e.collection("events").select(F.col("user_id").cast("string").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_time"), "event_id", "value", "event_type")
     last = lambda kind: changes.latest(rows.filter(F.col("event_type") == kind)).select("id", "_time", "value")
     return last("view"), last("click")
 
@@ -472,7 +472,7 @@ def _stream(e: Engine, sf_dir: str) -> DataFrame:
     """Events as a log of versions of their users; errors delete."""
     schema = e.spark.read.parquet(f"{sf_dir}/events.parquet").schema
     log = changes.op_log(e.spark, f"{sf_dir}/events.parquet*", schema, 1)
-    log = log.select(F.col("user_id").cast("string").alias("id"), (F.unix_micros("ts") * 16 + F.col("event_id") % 16).alias("_time"), (F.col("event_type") == "error").alias("deleted"), "event_id")
+    log = log.select(F.col("user_id").cast("string").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 16 + F.col("event_id") % 16).alias("_time"), (F.col("event_type") == "error").alias("deleted"), "event_id")
     folder = e.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="thicket-stream-")
     at = f"{folder.rstrip('/')}/stream-{e.spark.sparkContext.applicationId}-{id(log)}"
     changes.ingest(log, f"{at}/versions", f"{at}/state").awaitTermination()
@@ -480,10 +480,10 @@ def _stream(e: Engine, sf_dir: str) -> DataFrame:
 
 
 MUTATIONS: list[Entry] = [
-    ("mut_put_batch", lambda e, _: mutate.apply_batch(e.collection("customer"), _batch(e), 5).drop("_time"),
+    ("mut_put_batch", lambda e, _: mutate.apply_batch(e.collection("customer"), _batch(e), 5).select("id", "c_nationkey", "c_acctbal"),
      "WITH o AS (SELECT s_suppkey, s_acctbal, s_nationkey, s_suppkey % 3 AS op FROM supplier), c AS (SELECT * FROM customer) "
-     "SELECT coalesce(c_custkey, NULL) AS c_custkey, CASE WHEN op = 0 THEN NULL ELSE c_name END AS c_name, CASE WHEN op IN (0, 1) THEN s_nationkey ELSE c_nationkey END AS c_nationkey, CASE WHEN op IN (0, 1) THEN s_acctbal ELSE c_acctbal END AS c_acctbal, CASE WHEN op = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, coalesce(CAST(c_custkey AS VARCHAR), CAST(s_suppkey AS VARCHAR)) AS id "
-     "FROM (SELECT CASE WHEN op = 0 THEN NULL ELSE c_custkey END AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, op, s_acctbal, s_nationkey, coalesce(s_suppkey, c_custkey) AS s_suppkey FROM c FULL JOIN o ON s_suppkey = c_custkey) WHERE op IS NULL OR op <> 2"),
+     "SELECT CAST(coalesce(c_custkey, s_suppkey) AS VARCHAR) AS id, CASE WHEN op IN (0, 1) THEN s_nationkey ELSE c_nationkey END AS c_nationkey, CASE WHEN op IN (0, 1) THEN s_acctbal ELSE c_acctbal END AS c_acctbal "
+     "FROM c FULL JOIN o ON s_suppkey = c_custkey WHERE op IS NULL OR op <> 2"),
     ("mut_patch_where", lambda e, _: mutate.patch_where(e.collection("customer"), Query("customer").where("c_acctbal", "lt", 0), {"c_acctbal": 0.0, "c_mktsegment": "NONE"}), f"SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment, CAST(c_custkey AS VARCHAR) AS id, 0::BIGINT AS _time FROM customer"),
     ("mut_delete_where", lambda e, _: mutate.delete_where(e.collection("customer"), Query("customer").where("c_mktsegment", "eq", "BUILDING")), f"SELECT {KEPT} WHERE c_mktsegment <> 'BUILDING'"),
     ("mut_put", lambda e, _: mutate.put(e.collection("nation"), e.collection("nation").filter("n_regionkey = 1").withColumn("n_name", F.lower("n_name"))), "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey, CAST(n_nationkey AS VARCHAR) AS id, 0::BIGINT AS _time FROM nation"),
