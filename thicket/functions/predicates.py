@@ -65,7 +65,7 @@ def compile_filter(find: Resolver, f: Filter) -> Column:
             return column.isNotNull() if f.op == "not_in" else F.lit(False)
         items = [v for v in f.value if f.field != "id" or isinstance(v, str)]
         if items and all(isinstance(v, str) for v in items) and kind_of_type(kind) == "string":
-            among = F.coalesce(column.isin(items), F.lit(False))
+            among = column.isin(items)
         else:
             among = any_of([compare(column, kind, "eq", v) for v in items])
         return column.isNotNull() & (~among if f.op == "not_in" else among)
@@ -89,7 +89,7 @@ def compile_filter(find: Resolver, f: Filter) -> Column:
         held = column.startswith(f.value)
     else:
         held = text.match(column, f.value) if f.op == "match" else text.match_prefix(column, f.value)
-    return F.coalesce(held, F.lit(False))
+    return column.isNotNull() & held
 
 
 def _member(column: Column, of: T.DataType, value) -> Column:

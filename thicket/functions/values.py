@@ -143,7 +143,9 @@ def compare(column: Column, kind: T.DataType, op: str, value) -> Column:
         found = _ordered(column, op, literal(value).cast(kind) if right in ("array", "map") else literal(value))
     else:
         found = _by_weight(op, left, right)
-    return column.isNotNull() & F.coalesce(found, F.lit(False))
+    if right in ("array", "map", "reference") or left != right:
+        found = F.coalesce(found, F.lit(False))
+    return column.isNotNull() & found  # scalars of one kind compare to null only if absent; this form is pushed to scans
 
 
 def same(column: Column, kind: T.DataType, value) -> Column:
