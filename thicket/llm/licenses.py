@@ -157,3 +157,37 @@ def scan(docs: DataFrame, rarest: int = RAREST, least_covered: float = LEAST_COV
         F.coalesce("score", F.lit(0.0)).alias("score"),
         "matches",
     )
+
+
+def sql(documents: str = "documents", rarest: int = RAREST, least_covered: float = LEAST_COVERED) -> str:
+    """The same as `scan`, but for its matches, over a table of documents in DuckDB's SQL."""
+    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} - set(COMMON))
+    words, keys = [], []
+    for t, (label, template, phrases) in enumerate(TEMPLATES):
+        cut = template.split()
+        words += [f"({t}, '{label}', {i}, '{w}', {len(cut)})" for i, w in enumerate(cut)]
+        for p in phrases:
+            k = p.split()
+            at = next(i for i in range(len(cut)) if cut[i : i + len(k)] == k)
+            keys += [f"({t}, {at + i})" for i in range(len(k))]
+    places = " UNION ALL ".join(
+        f"SELECT a.r, a.i AS start, '{label}' AS label FROM w a "
+        + " ".join(f"JOIN w w{j} ON w{j}.r = a.r AND w{j}.i = a.i + {j} AND w{j}.word = '{x}'" for j, x in enumerate(phrase.split()) if j)
+        + f" WHERE a.word = '{phrase.split()[0]}'"
+        for phrase, label in PHRASES.items()
+    )
+    among = ", ".join(f"'{x}'" for x in vocabulary)
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {documents}), "
+        "w AS MATERIALIZED (SELECT r, i - 1 AS i, words[i] AS word FROM d, unnest(range(1, len(words) + 1)) AS u(i)), "
+        f"t(template, label, place, word, size) AS (VALUES {', '.join(words)}), k(template, place) AS (VALUES {', '.join(keys)}), "
+        f"p AS ({places}), "
+        "base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS labels FROM p GROUP BY r), "
+        f"f AS (SELECT word, ln(1 + (SELECT count(*) FROM d) / (1 + count(DISTINCT r))::DOUBLE) AS idf FROM w WHERE word IN ({among}) GROUP BY word), "
+        f"asked AS (SELECT r, word FROM (SELECT DISTINCT r, w.word, idf FROM w JOIN f ON f.word = w.word) QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) <= {rarest}), "
+        f"votes AS (SELECT w.r, template, w.i - place AS start, any_value(label) AS label, any_value(size) AS size FROM asked JOIN w ON w.r = asked.r AND w.word = asked.word JOIN t ON t.word = w.word WHERE t.word IN ({among}) GROUP BY ALL HAVING count(*) >= 2), "
+        "laid AS (SELECT v.r, v.template, v.start, any_value(v.label) AS label, any_value(v.size) AS size, count(*) AS equal, count(k.place) AS keyed FROM votes v JOIN t ON t.template = v.template JOIN w ON w.r = v.r AND w.i = v.start + t.place AND w.word = t.word LEFT JOIN (SELECT DISTINCT * FROM k) k ON k.template = t.template AND k.place = t.place GROUP BY v.r, v.template, v.start), "
+        f"found AS (SELECT r, list_distinct(list(label)) AS labels, max(equal / size::DOUBLE) AS score FROM laid l WHERE equal / size::DOUBLE >= {least_covered} AND keyed = (SELECT count(DISTINCT place) FROM k WHERE k.template = l.template) GROUP BY r) "
+        "SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels, "
+        "array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN base ON base.r = d.r LEFT JOIN found ON found.r = d.r"
+    )

@@ -57,6 +57,7 @@ def _sign(size: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"]
             )
+        scratch.trim()
 
     return run
 
@@ -66,6 +67,7 @@ def _shingled(size: int):
         for batch in batches:
             sets = [shingles(x.as_py(), size)[0].astype("<u8").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        scratch.trim()
 
     return run
 
@@ -144,6 +146,7 @@ def _link(least: float):
             yield found()
         close()
         yield found()
+        scratch.trim()
 
     return run
 
@@ -215,3 +218,15 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = rows.filter("_key IS NOT NULL")
     stay = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti")
     return stay.dropDuplicates(["doc_id", "_key"]).select(*back).union(alone)
+
+
+def sql(documents: str = "documents", least: float = SIMILARITY, size: int = SIZE) -> str:
+    """Classes by comparing all pairs that share a shingle, in DuckDB's SQL; for small tables."""
+    return (
+        f"WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}), "
+        f"s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + least({size}, len(w)) - 1], ' ') AS s FROM d, unnest(range(1, len(w) - least({size}, len(w)) + 2)) AS u(i) WHERE len(w) > 0), "
+        "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), "
+        f"e AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM s p JOIN s q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL) x JOIN n ON n.doc_id = a JOIN n m ON m.doc_id = b WHERE shared >= {least} * (n.n + m.n - shared)), "
+        "r AS (SELECT a, a AS c FROM e UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.a) "
+        "SELECT doc_id, coalesce(c, doc_id) AS class_id, doc_id = coalesce(c, doc_id) AS kept FROM d LEFT JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) ON a = doc_id"
+    )

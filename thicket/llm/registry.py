@@ -84,5 +84,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.sql(),
+        "op6_near_duplicates": neardup.sql(),
+        "op7_licenses": licenses.sql(),
         "op8_topk": topk.SQL,
+        "op9_secrets": secrets.sql(),
     }

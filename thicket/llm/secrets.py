@@ -34,18 +34,18 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 ASSIGNED = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 CANDIDATE, LEAST_CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}", 20
-#: Character classes, narrowest first: name, what a candidate of it is made of, window, least entropy in bits.
+#: Character classes, narrowest first: name, patterns that all fit a candidate of it, window, least
+#: entropy in bits.
 CLASSES = [
-    ("hex", r"^[0-9a-f]+$|^[0-9A-F]+$", 20, 2.95),
-    ("upper", r"^(?=.*[0-9])[A-Z0-9]+$", 20, 3.25),
-    ("letters", r"^[A-Za-z]+$", 20, 4.15),
-    ("base64", r"^(?=.*[0-9])(?=.*[A-Za-z]).+$", 20, 3.65),
+    ("hex", ["^[0-9a-f]+$|^[0-9A-F]+$"], 20, 2.95),
+    ("upper", ["^[A-Z0-9]+$", "[0-9]"], 20, 3.25),
+    ("letters", ["^[A-Za-z]+$"], 20, 4.15),
+    ("base64", ["[0-9]", "[A-Za-z]"], 20, 3.65),
 ]
-#: Forms that look random and are no secrets: UUIDs, paths, rows of one or two characters, counting runs, samples.
+#: Forms that look random and are no secrets: UUIDs, paths, counting runs, samples, hyphenated words.
 ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^/?([A-Za-z_-][A-Za-z0-9_-]*/){2,}[A-Za-z0-9_=-]*$",
-    r"^(.{1,2})\1+.?$",
     r"(?i)0123456789|abcdefghij|example|sample|placeholder|xxxx",
     r"^[a-z]+([_-][a-z]+)+$",
 ]
@@ -97,8 +97,11 @@ def highest_entropy(text: Column, width: int) -> Column:
 def suspicious(text: Column) -> Column:
     """Whether a candidate string is random enough for its class and of no allowed form."""
     reaches = F.lit(False)
-    for _, form, width, least in reversed(CLASSES):
-        reaches = F.when(text.rlike(form), highest_entropy(text, width) >= least).otherwise(reaches)
+    for _, forms, width, least in reversed(CLASSES):
+        fits = F.lit(True)
+        for form in forms:
+            fits = fits & text.rlike(form)
+        reaches = F.when(fits, highest_entropy(text, width) >= least).otherwise(reaches)
     allowed = F.lit(False)
     for form in ALLOWED:
         allowed = allowed | text.rlike(form)
@@ -163,3 +166,30 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     at = f"c{docs.columns.index('text')}"
     found = find(rows)
     return found.withColumn(at, F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).select(*back)
+
+
+def sql(documents: str = "documents") -> str:
+    """The same as `scan` over a table of documents, in DuckDB's SQL."""
+
+    def spans(kind: int, pattern: str, shown: int = 0) -> str:
+        quoted = pattern.replace("'", "''")
+        return (
+            f"SELECT r, {kind} AS kind, i, m[i] AS hit, shown[i] AS shown, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INTEGER AS start "
+            f"FROM (SELECT r, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', {shown}) AS shown, string_split_regex(t, '{quoted}') AS gaps FROM d), unnest(range(1, len(m) + 1)) AS u(i)"
+        )
+
+    width = CLASSES[0][2]
+    highest = f"list_max(list_transform(range(1, length(shown) - {width} + 2), lambda i: list_aggregate(string_split(substr(shown, i, {width}), ''), 'entropy')))"
+    fits = " ".join("WHEN " + " AND ".join(f"regexp_matches(shown, '{f}')" for f in forms) + f" THEN {highest} >= {least}" for _, forms, _, least in CLASSES)
+    allowed = " OR ".join(f"regexp_matches(shown, '{f}')" for f in ALLOWED)
+    joined = "string_agg(k || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}), "
+        f"a AS ({spans(0, ASSIGN, 2)}), b AS ({spans(1, ACCESS)}), c AS ({spans(2, HEX)}), e AS ({spans(3, CANDIDATE)}), "
+        f"base AS (SELECT r, kind, start, start + length(hit) AS stop FROM (SELECT * FROM a WHERE length(shown) >= {LEAST_VALUE} UNION ALL SELECT * FROM b WHERE length(hit) >= {LEAST_ACCESS} UNION ALL SELECT * FROM c WHERE length(hit) >= {LEAST_HEX})), "
+        f"more AS (SELECT r, kind, start, start + length(hit) AS stop FROM e WHERE NOT ({allowed}) AND CASE {fits} ELSE FALSE END), "
+        "every AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.r = m.r AND x.start < m.stop AND m.start < x.stop)), "
+        f"n AS (SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END AS k FROM every), "
+        f"s AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, coalesce({joined.replace(')', '')}) FILTER (kind < 3), '') AS base, {joined} AS spans FROM n GROUP BY r) "
+        "SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s ON s.r = d.r"
+    )
