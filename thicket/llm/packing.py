@@ -50,6 +50,7 @@ def _encode(path: str, end: int):
                     [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(starts), some.column(0), pa.array(n.astype(np.int32)), pa.array(ids, pa.binary())],
                     names=["part", "at", "doc_id", "n", "ids"],
                 )
+        scratch.trim()
 
     return run
 
@@ -76,6 +77,7 @@ def _cut(length: int, with_ids: bool):
             if with_ids:
                 columns, names = [*columns, pa.array(ids_of, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        scratch.trim()
 
     return run
 

@@ -183,32 +183,26 @@ def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def _beside(batches):
-    """Appends STATS to rows whose last column is the text's bytes, which goes."""
-    for batch in batches:
-        rows = [text_stats(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
-        columns = list(zip(*rows)) if rows else [[] for _ in STATS]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names[:-1], *(f"_{s}" for s in STATS)]
-        )
+def _stats_column(raw: pa.Array) -> pa.Array:
+    rows = [text_stats(x.as_py() or b"") for x in raw]
+    columns = list(zip(*rows)) if rows else [[] for _ in STATS]
+    scratch.trim()
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=STATS)
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept, with the input's columns.
 
     Statistics are computed beside the rows, which are written once with their votes, so that no
-    join by id is needed and repeated or missing ids don't matter.
+    join by id is needed and repeated or missing ids don't matter. Only texts go to Python.
     """
     scratch.workers_import(docs.sparkSession)
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_raw", F.col(f"c{names.index('text')}").cast("binary"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[:-1]), *(f"_{s} long" for s in STATS)])
-    rows = plain.mapInArrow(_beside, schema)
-    stats = {f"_{s}": s for s in STATS}
-    rows = rows.withColumnsRenamed(stats)
+    rows, back = scratch.beside(docs, "text")
+    whole = [f"c{i}" for i in range(len(back))]
+    measure = F.arrow_udf(_stats_column, ", ".join(f"{s} long" for s in STATS))
+    rows = rows.select(*whole, measure(F.col("text").cast("binary")).alias("of")).select(*whole, "of.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     cast = [v.alias(f"vote_{n}") for n, v in rules().items()]
-    rows = scratch.table(rows.select(*plain.columns[:-1], *cast, failed.alias("failed")), "quality")
+    rows = scratch.table(rows.select(*whole, *cast, failed.alias("failed")), "quality")
     of, votes = _model(rows)
-    kept = rows.filter("NOT failed").join(F.broadcast(of), votes).filter(F.col("posterior") >= threshold)
-    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    return rows.filter("NOT failed").join(F.broadcast(of), votes).filter(F.col("posterior") >= threshold).select(*back)
