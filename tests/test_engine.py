@@ -401,6 +401,61 @@ def test_json_and_backup(spark, tmp_path):
     assert typed.first().a.b == 2
 
 
+def test_catalog(spark, tmp_path):
+    from thicket.sources.admin import Catalog, conflicts, walk
+
+    rows = [(f"k{i}", i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, _time bigint, v bigint")
+    c = Catalog(Engine(spark).register("a", df).register("private/x", df).register("b", df.limit(0)), [("private", False)])
+    assert c.query(Query("a").where("v", "lt", 3)).count() == 3
+    with pytest.raises(PermissionError):
+        c.query(Query("private/x"))
+    assert [(r.action, r.collection, r.allowed) for r in c.audit_log().collect()] == [("query", "a", True), ("query", "private/x", False)]
+    left, moved = c.relocate("a", "b", Query("a").where("v", "gte", 15))
+    assert left.count() == 15 and moved.count() == 5
+    assert c.compact("a", str(tmp_path / "a")).count() == 20 and c.list_collections("priv*") == ["private/x"]
+    assert c.load("a") == ["a"] and c.query(Query("a")).count() == 20
+    c.unload("a")
+    c.rename("a", "z")
+    assert c.drop("z") and not c.drop("z") and c.engine.collection("z").count() == 0
+    with pytest.raises(PermissionError):
+        Catalog(c.engine, read_only=True).drop("b")
+    seen = []
+    assert walk(df.orderBy("v"), lambda r: seen.append(r.v) or len(seen) < 4) == 4 and seen == [0, 1, 2, 3]
+    read = spark.createDataFrame([("k1", 1), ("k2", 7), ("new", None), ("k3", None)], "id string, _time bigint")
+    assert sorted(ids(conflicts(df, read))) == ["k2", "k3"]
+    with c.cancellable("g"):
+        assert df.count() == 20
+    c.cancel("g")
+
+
+def test_indexes(spark):
+    from thicket.operators.indexes import Index, Indexes, approximate_knn, quantised, recall, side_table, violations
+
+    known = Indexes()
+    unique = Index("composite", "c", (("a", "asc"), ("b", "desc")), unique=True)
+    assert known.ensure(unique, unique, Index("fts", "c", (("t", "asc"),))) == 2
+    with pytest.raises(ValueError):
+        known.create(Index("composite", "c", (("a", "asc"), ("b", "asc"))))
+    assert [i.kind for i in known.list("c")] == ["composite", "fts"] and known.drop("fts", "c", "t") and not known.drop("fts", "c", "t")
+    df = spark.createDataFrame([("1", 1, 2, "x y", "on"), ("2", 1, 2, "aa bb aa", "off"), ("3", None, 2, None, "on"), ("4", None, 2, "aa", "on")], "id string, a int, b int, t string, s string")
+    assert violations(df, unique).count() == 2
+    assert violations(df, Index("composite", "c", (("a", "asc"), ("b", "asc")), True, True)).count() == 1
+    assert violations(df, Index("composite", "c", (("a", "asc"), ("b", "asc")), True, True, (Filter("s", "eq", "on"),))).count() == 0
+    posts = side_table(df, Index("fts", "c", (("t", "asc"),)))
+    assert {(r.term, r.id, r.tf) for r in posts.collect()} == {("aa", "2", 2), ("bb", "2", 1), ("aa", "4", 1)}
+    assert ids(text.search_postings(posts, "aa")) and side_table(df, unique).count() == 4
+    pick = random.Random(3)
+    centres = [[pick.gauss(0, 1) for _ in range(40)] for _ in range(8)]
+    rows = [(f"v{i:03d}", [x + pick.gauss(0, 0.3) for x in centres[i % 8]]) for i in range(400)]
+    vec = spark.createDataFrame(rows, "id string, e array<double>")
+    index = quantised(vec, "e")
+    row = index.filter("id = 'v000'").first()
+    assert max(abs(row.scale * q - x) for q, x in zip(row.q, rows[0][1])) <= row.scale / 2 + 1e-9
+    exact = knn.knn(vec, "e", rows[0][1], 10)
+    assert recall(exact, approximate_knn(vec, index, "e", rows[0][1], 10), 10) >= 0.9
+
+
 def test_plans(spark, sf_dir):
     from thicket.sources.collections import over_tables
 

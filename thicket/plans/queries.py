@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import graph, knn, mutate
+from ..operators import graph, indexes, knn, mutate
 from ..operators.pipeline import Pipeline
 from ..operators.query import Query, anchor
-from ..sources import documents
+from ..sources import admin, documents
 from ..sources.collections import Engine, over_tables, union_by_id
 from ..streaming import changes
 
@@ -290,6 +290,7 @@ RETRIEVAL: list[Entry] = [
         lambda e, _: knn.knn_batch(e.collection("embeddings"), "embedding", PROBES, 5, "cosine").withColumn("score", F.round("score", 6)),
         " UNION ALL ".join(f"(SELECT {i}::INTEGER AS query, row_number() OVER (ORDER BY s, id)::INTEGER AS \"rank\", id, round(s, 6) AS score FROM (SELECT id, {_far('cosine')} AS s FROM ({VECTORS_OF}), (SELECT {_list(p)} AS q)) QUALIFY \"rank\" <= 5)" for i, p in enumerate(PROBES)),
     ),
+    ("knn_approximate", lambda e, _: _scored(indexes.approximate_knn(e.collection("embeddings"), indexes.quantised(e.collection("embeddings"), "embedding"), "embedding", PROBE, 10)), None),
     ("hybrid_rrf", lambda e, _: knn.hybrid(_both(e), "text", "The of", "embedding", PROBE, 10).select("id", F.round("score", 9).alias("score")), _hybrid_sql()),
     ("hybrid_filtered", lambda e, _: knn.hybrid(_both(e), "text", "the of", "embedding", PROBE, 10, filters=Query("").where("lang", "eq", "en").filters).select("id", F.round("score", 9).alias("score")), _hybrid_sql("lang = 'en'")),
 ]
@@ -414,6 +415,7 @@ GRAPHS: list[Entry] = [
         "WITH x AS (SELECT 'customer/' || c_custkey AS node, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, n_nationkey FROM nation) "
         "SELECT min(node) OVER (PARTITION BY k) AS component, node FROM x",
     ),
+    ("graph_analyze", lambda e, _: graph.analyze("degrees", _references(e), _named(e, "nation", "region")), "SELECT 'nation/' || n_nationkey AS node, 0::BIGINT AS in_degree, 1::BIGINT AS out_degree FROM nation UNION ALL SELECT 'region/' || r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey), 0 FROM region"),
     ("graph_degree", lambda e, _: graph.degrees(*_users(e)), f"WITH e AS ({USER_EDGES}) SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS in_degree, (SELECT count(*) FROM e WHERE src = node) AS out_degree FROM ({USER_NODES})"),
     ("graph_topo", lambda e, _: graph.topological_order(_references(e), _named(e, "nation", "region")), None),
     ("graph_levels", lambda e, _: _levels(e), LEVELS),
@@ -495,6 +497,7 @@ MUTATIONS: list[Entry] = [
     ),
     ("schema_violations", lambda e, _: mutate.schema_violations(e.collection("nation"), [{"name": "n_name", "kind": "int"}, {"name": "note", "required": True}]), "SELECT CAST(n_nationkey AS VARCHAR) AS id, f AS field, r AS reason FROM nation, (VALUES ('n_name', 'kind'), ('note', 'missing')) x(f, r)"),
     ("softdel_restore_available", lambda e, _: _soft(e), f"SELECT 'customer/' || c_custkey AS key, CAST(c_custkey AS VARCHAR) AS id, {STAMP}::BIGINT AS deleted_at, {STAMP + mutate.RETENTION}::BIGINT AS scheduled_at FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING'"),
+    ("tx_conflicts", lambda e, _: admin.conflicts(e.collection("orders"), e.collection("orders").select("id", F.when(F.col("o_orderstatus") == "P", F.col("_time") + 1).otherwise(F.col("_time")).alias("_time"))).select("id"), f"SELECT {ORDER_ID} AS id FROM orders WHERE o_orderstatus = 'P'"),
     ("lww_merge", lambda e, _: mutate.lww_merge(*_versions(e)), f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.t IS NULL OR a.t >= b.t THEN a.t ELSE b.t END AS _time, CASE WHEN b.t IS NULL OR a.t >= b.t THEN a.v ELSE b.v END AS value FROM ({LAST.format('view')}) a FULL JOIN ({LAST.format('click')}) b ON a.id = b.id"),
     ("stream_lww", _stream, "SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_id, epoch_us(ts) * 16 + event_id % 16) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, epoch_us(ts) * 16 + event_id % 16) <> 'error'"),
     (
