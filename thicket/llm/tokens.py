@@ -19,8 +19,9 @@ PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-įı-ňŊ-ž]*")
 #: Pre-token patterns of the two vocabularies, written for the plain range.
 BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Cached pre-tokens; beyond that the cache starts anew, so that memory is bounded.
-CACHE = 1_000_000
+#: Pre-tokens of one generation of the cache. When it is full it becomes the old one, of which only what
+#: occurs again is carried over, so memory is bounded and frequent words stay.
+CACHE = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -34,9 +35,17 @@ class Pretokens(dict):
     """The ids of each pre-token, as bytes; the library's model merges those that are new."""
 
     def __init__(self, model):
-        self.model, self.letters = model, byte_alphabet()
+        self.model, self.letters, self.old = model, byte_alphabet(), {}
+
+    def turn(self) -> None:
+        """Makes this generation the old one."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.pop(word, None)) is not None:
+            self[word] = ids
+            return ids
         written = word.encode().decode("latin-1").translate(self.letters)
         found = self.model.tokenize(written)
         ids = struct.pack(f"<{len(found)}H", *(t.id for t in found))
@@ -65,7 +74,7 @@ class Encoder:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache.turn()
         words = self.pattern.findall(text.lower() if self.word_level else text)
         return b"".join(map(self.cache.__getitem__, words))
 
