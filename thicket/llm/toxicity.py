@@ -326,9 +326,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Machine:
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts: dict[int, list[str]] = {}
     for k in (1, 0):
-        ids = [r.doc_id for r in known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-        rows = docs.filter(F.col("doc_id").isin(ids) & (F.length("text") <= LONGEST)).select("doc_id", "text") if ids else None
-        texts[k] = [r.text for r in sorted(rows.collect())] if rows else []
+        least = known.filter(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        ids = [r.doc_id for r in least.collect()]
+        rows = docs.filter(F.col("doc_id").isin(ids) & (F.length("text") <= LONGEST))  # of a repeated id one text
+        texts[k] = [r.text for r in sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())] if ids else []
     return Machine(texts[1], texts[0], (counts.get(1, 0), counts.get(0, 0)))
 
 
