@@ -108,9 +108,9 @@ def suspicious(text: Column) -> Column:
     return F.when(allowed, False).otherwise(reaches)
 
 
-def spans_of(text: Column, low: Column, long_run: Column) -> Column:
-    """All spans, sorted; base ones have kinds 0 to 2. low: the text in lower case; long_run: whether
-    a candidate occurs in it."""
+def spans_of(text: Column, low: Column, long_run: Column) -> tuple[Column, Column]:
+    """Base spans (kinds 0 to 2) and the method's, each unsorted. low: the text in lower case; long_run:
+    whether a candidate occurs in it."""
     none = F.array().cast(SPAN)
     named = F.lit(False)
     for w in ASSIGNED:
