@@ -12,8 +12,9 @@
    written out. Nodes of a large bucket are dealt into blocks of about `BLOCK`, and a task holds two.
 4. Classes are the connected components of those links; equal texts follow their node.
 
-The texts of the nodes in buckets are read in a second scan. A bitmap of fixed size (2**26 bits),
-built from their keys and sent to all executors, drops nearly all other rows before the shuffle.
+The texts of the nodes in buckets are read in a second scan. Bitmaps of fixed size (2**26 bits), built
+from the buckets' bands and those nodes' keys and sent to all executors, drop nearly all other rows
+before they are shuffled.
 
 Defined cases: a null text and one without words is alone in its class; rows with the same doc_id and
 text are one document; a class's id is its least doc_id; an empty table gives an empty result; other
@@ -179,8 +180,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
 
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("s"), F.min("node").alias("m"))
     buckets = buckets.filter("n > 1").groupBy("n", "s", "m").agg(F.min("band").alias("band"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = scratch.table(banded.join(buckets.select("band", blocks.alias("blocks")), "band"), "members")
+    buckets = scratch.table(buckets.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    shared = _among(banded, F.xxhash64("band"), buckets, F.xxhash64("band"))  # most bands have one node
+    members = scratch.table(shared.join(buckets, "band"), "members")
 
     # The shingles of those nodes: a second scan, cut down by the bitmap before it is shuffled.
     nodes = members.select("node").distinct().join(signed.select("row", "doc_id", "key"), F.col("node") == F.col("row"))
