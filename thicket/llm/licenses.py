@@ -46,7 +46,7 @@ TEMPLATES = [
     ("copyright", "copyright c all rights reserved", ["all rights reserved"]),
 ]
 #: Words too common to say anything about a licence; templates are found by their others.
-COMMON = "a an and any are as c for in is of or that the this to use with under v 0 2 3 4".split()
+COMMON = "a all an and any are as by c for from in is of on or that the this to use with without under v 0 2 3 4".split()
 RAREST, LEAST_COVERED = 6, 0.75
 
 
