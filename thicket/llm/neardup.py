@@ -63,10 +63,22 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
+def _stored(hashes: np.ndarray) -> bytes:
+    """The distinct low 40 bits of each: two shingles of a pair of texts clash once in 10**12."""
+    short = np.unique(hashes & np.uint64((1 << 40) - 1)).astype("<u8")
+    return short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _restored(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 def _shingled(size: int):
     def run(batches):
         for batch in batches:
-            sets = [shingles(x.as_py(), size)[0].astype("<u8").tobytes() for x in batch.column(1)]
+            sets = [_stored(shingles(x.as_py(), size)[0]) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         scratch.trim()
 
@@ -143,7 +155,7 @@ def _link(least: float):
                     close()
                     held_key = key
                 nodes.append(x)
-                sets.append(np.frombuffer(r.as_buffer(), dtype="<u8").copy())
+                sets.append(_restored(r.as_py()))
             yield found()
         close()
         yield found()
@@ -183,6 +195,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
     buckets = scratch.table(buckets.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
     shared = _among(banded, F.xxhash64("band"), buckets, F.xxhash64("band"))  # most bands have one node
     members = scratch.table(shared.join(buckets, "band"), "members")
+    scratch.discard(banded)
 
     # The shingles of those nodes: a second scan, cut down by the bitmap before it is shuffled.
     nodes = members.select("node").distinct().join(signed.select("row", "doc_id", "key"), F.col("node") == F.col("row"))
@@ -199,6 +212,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
     met = dealt.join(sets, "node").select("band", "i", "j", "node", "shingles")
     met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
     edges = scratch.table(met.mapInArrow(_link(least), "a long, b long"), "links")
+    scratch.discard(sets)
+    scratch.discard(members)
 
     roots = components(edges)
     linked = roots.join(distinct.select("node", "first_id"), "node")

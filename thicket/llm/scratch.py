@@ -45,7 +45,15 @@ def table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `table` before the session ends; all that was made from it must be written."""
+    _delete(df.sparkSession, df.scratch_path)
+    _used.discard(df.scratch_path)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -79,10 +87,13 @@ def trim() -> None:
 def release(spark: SparkSession) -> None:
     """Deletes every table of this session; runs at exit too."""
     while _used:
-        path = _used.pop()
         with contextlib.suppress(Exception):
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, _used.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def workers_import(spark: SparkSession) -> None:
