@@ -145,6 +145,18 @@ def test_licenses_base(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_find_every_template_whatever_else_the_file_holds(spark):
+    everyday = "free copies of the files and documentation, at no charge to any person who may use, modify or distribute software for a purpose "
+    pairs = [(a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    rows = [(i, f"{a[1]}. {b[1]}") for i, (a, b) in enumerate(pairs)]
+    rows += [(900, ". ".join(t for _, t, _ in licenses.TEMPLATES)), (901, everyday + "Licensed under the MIT license"), (902, everyday + "Licensed under the Apache License, Version 2.0")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert {a[0], b[0]} <= set(got[i].labels.split(",")), rows[i]
+    assert {x[0] for x in licenses.TEMPLATES} <= set(got[900].labels.split(","))
+    assert got[901].labels == "mit" and got[902].labels == "apache-2.0"
+
+
 def test_secrets(spark):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     extra = [(20, "token=abc: secret=abcdefgh PASSWORD:\"xxxxxx🙂\" api_key = key=12 AKIAX AKIA" + "Z9" * 10), (21, "ab1 ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 end")]

@@ -3,11 +3,12 @@
 Texts are lower-cased and cut into words (runs of letters, digits and characters beyond ASCII).
 Each licence template is a short run of words; an index holds, for each word, the templates and
 places where it stands. The inverse document frequency of the templates' words is counted over all
-documents. A file then looks up only its rarest licence words: each of their places votes for
-(template, place of the template's start in the file), and votes that agree on the relative
-position meet in one aggregation. Where enough of them agree, the file's words there are laid
-beside the template: its mandatory key phrases must stand word for word, and the share of equal
-words must reach `LEAST_COVERED`. That share is the score.
+documents. Each template is looked up by its anchors, the `ANCHORS` rarest words of its mandatory key
+phrases: each of an anchor's places in a file votes for (template, place of the template's start in
+the file), and votes that agree on the relative position meet in one aggregation. Where all anchors
+agree, the file's words there are laid beside the template: its key phrases must stand word for
+word, and the share of equal words must reach `LEAST_COVERED`. That share is the score. As key
+phrases are mandatory, a match holds all anchors, so none is lost whatever else the file holds.
 
 Base places, where a fixed phrase's words stand consecutively, are counted besides.
 
@@ -47,7 +48,9 @@ TEMPLATES = [
 ]
 #: Words too common to say anything about a licence; templates are found by their others.
 COMMON = "a all an and any are as by c for from in is of on or that the this to use with without under v 0 2 3 4".split()
-RAREST, LEAST_COVERED = 6, 0.75
+ANCHORS, LEAST_COVERED = 2, 0.75
+#: Words of a file that the SQL looks up; `scan` has no such limit.
+RAREST = 6
 
 
 def words_of(lowered: Column) -> Column:
@@ -75,13 +78,13 @@ def _postings(spark, idf: dict[str, float]) -> DataFrame:
         for key in keys:
             k = key.split()
             spans.append(next((i, len(k)) for i in range(len(words)) if words[i : i + len(k)] == k))
-        for at, w in enumerate(words):
-            if w not in COMMON:
-                rows.append((w, t, label, at, words, spans, idf[w]))
-    return spark.createDataFrame(rows, "word string, template int, label string, place int, words array<string>, keys array<struct<at:int,n:int>>, idf double")
+        mandatory = {words[at]: at for i, n in spans for at in range(i, i + n) if words[at] not in COMMON}
+        for w in sorted(mandatory, key=lambda w: (-idf[w], w))[:ANCHORS]:
+            rows.append((w, t, label, mandatory[w], words, spans))
+    return spark.createDataFrame(rows, "word string, template int, label string, place int, words array<string>, keys array<struct<at:int,n:int>>")
 
 
-def scan(docs: DataFrame, rarest: int = RAREST, least_covered: float = LEAST_COVERED) -> DataFrame:
+def scan(docs: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     matches: the templates found, as (label, first word, share of equal words).
@@ -118,25 +121,23 @@ def scan(docs: DataFrame, rarest: int = RAREST, least_covered: float = LEAST_COV
     seen = held.select(F.explode("licence_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     df = {r.word: r.n for r in seen.collect()}
     idf = {w: math.log(1 + total / (1 + df.get(w, 0))) for w in vocabulary}
-    idf_of = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))))
-
-    ranked = F.array_sort(F.transform("licence_words", lambda w: F.struct((-F.element_at(idf_of, w)).alias("a"), w.alias("w"))))
-    asks = F.slice(F.transform(ranked, lambda x: x["w"]), 1, rarest)
-    looked = held.filter(F.size("licence_words") > 0).withColumn("asks", asks)
-    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("asks", w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    postings = _postings(spark, idf)
+    anchors = F.array(*map(F.lit, sorted({r.word for r in postings.select("word").collect()})))
+    looked = held.filter(F.arrays_overlap("licence_words", anchors))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
     hits = looked.select("row", "words", F.explode(hits).alias("hit")).select("row", F.col("words").alias("file"), "hit.*")
     start = F.col("at") - F.col("place")
     laid = F.transform("words", lambda w, i: F.when(start + i >= 0, F.get("file", start + i)))
     votes = (
-        hits.join(F.broadcast(_postings(spark, idf)), "word")
-        .select("row", "template", "label", start.alias("start"), "idf", "words", "keys", laid.alias("laid"))
+        hits.join(F.broadcast(postings), "word")
+        .select("row", "template", "label", start.alias("start"), "words", "keys", laid.alias("laid"))
         .groupBy("row", "template", "start")
-        .agg(F.count(F.lit(1)).alias("votes"), F.sum("idf").alias("weight"), *(F.first(c).alias(c) for c in ("label", "words", "keys", "laid")))
+        .agg(F.count(F.lit(1)).alias("votes"), *(F.first(c).alias(c) for c in ("label", "words", "keys", "laid")))
     )
     covered = F.size(F.filter(F.zip_with("words", "laid", lambda a, b: a.eqNullSafe(b)), lambda x: x)) / F.size("words")
     keyed = F.forall("keys", lambda k: F.slice("laid", k["at"] + 1, k["n"]) == F.slice("words", k["at"] + 1, k["n"]))
     found = (
-        votes.filter((F.col("votes") >= 2) & keyed)
+        votes.filter((F.col("votes") == ANCHORS) & keyed)
         .withColumn("covered", covered)
         .filter(F.col("covered") >= least_covered)
         .groupBy("row")
