@@ -48,6 +48,24 @@ def test_near_duplicates(spark):
     assert neardup.classes(frame(spark, [])).count() == 0 and neardup.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_pairs_with_repeated_passages_are_candidates():
+    """Banding meets pairs whose sets are near but whose counts aren't at the rate for their sets."""
+    import pyarrow as pa
+
+    pairs, texts_ = 150, []
+    for i in range(pairs):
+        words = prose(9000 + i, 400).split()
+        words = [f"{w}{i}x{k}" for k, w in enumerate(words)]
+        new = [f"n{i}x{k}" for k in range(60)]
+        texts_ += [" ".join(words), " ".join(words[:200] + words[200:] * 50 + new)]
+    sets = [set(shingles.shingles(t.encode())[0].tolist()) for t in texts_]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    raw = [t.encode() for t in texts_]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(raw), pa.array(raw)], names=["doc_id", "raw", "key"])
+    bands = [set(b) for out in neardup._sign(5, neardup.BANDS, neardup.ROWS)([batch]) for b in out.column(2).to_pylist()]
+    assert all(a & b for a, b in zip(bands[::2], bands[1::2]))
+
+
 def test_family_of_near_copies_loses_no_link(spark, monkeypatch):
     """Hundreds of copies, each with edits of its own, so that many pairs lie about the limit; blocks
     are small, so that a bucket spans several."""

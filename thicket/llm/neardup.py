@@ -1,9 +1,10 @@
 """Near-duplicate classes of documents by ProbMinHash, banding and exact verification.
 
 1. Texts that are equal byte for byte share a digest; each distinct text is one node.
-2. Each node gets a ProbMinHash signature of its weighted word shingles, cut into bands; nodes with an
-   equal band share a bucket. At a similarity of 0.8, 28 bands of 6 registers miss a pair with a
-   probability of about 0.0002.
+2. Each node gets a ProbMinHash signature of its set of word shingles, cut into bands; nodes with an
+   equal band share a bucket. All shingles weigh 1, so registers agree with the probability of the
+   Jaccard similarity of the sets, which is what step 3 verifies, however often passages repeat. At a
+   similarity of 0.8, 28 bands of 6 registers miss a pair with a probability of about 0.0002.
 3. Buckets that hold the same nodes count once. Within a bucket every pair is compared exactly, in
    blocks: the shingles that two or more of the nodes have become columns, and a product of the
    membership matrix with its transpose gives all intersections, so the Jaccard similarity of the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
-from .shingles import SIZE, damped, mix, shingles, signature
+from .shingles import SIZE, mix, shingles, signature
 
 SIMILARITY, BANDS, ROWS = 0.8, 28, 6
 BLOCK = 512
@@ -52,8 +53,8 @@ def _sign(size: int, bands: int, rows: int):
                 if not key.is_valid:
                     signed.append(None)
                     continue
-                hashes, counts = shingles(text.as_py(), size)
-                won = mix(signature(hashes, damped(counts), bands * rows)).reshape(bands, rows)
+                hashes = shingles(text.as_py(), size)[0]
+                won = mix(signature(hashes, np.ones(len(hashes)), bands * rows)).reshape(bands, rows)
                 signed.append(mix((won * odd).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"]
