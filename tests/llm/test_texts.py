@@ -178,6 +178,18 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_the_form_of_paths_and_of_mixed_hex(spark):
+    key, mixed = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYQ2mPLzKEYs", "aB3f0C9e1D7a2F4b8E6c" "5A0d9B3f1C7e"
+    path = "/usr/local/share/python3/site-packages/Module"
+    rows = [(1, f"aws_secret_access_key = {key}"), (2, f"id {mixed} end"), (3, f"see {path} there")]
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, rows)).collect()}
+    assert got == {1: f"entropy:24:{24 + len(key)}", 2: f"entropy:3:{3 + len(mixed)}", 3: ""}
+    pick = np.random.RandomState(11)
+    keys = ["".join(pick.choice(list("0123456789abcdefABCDEF"), 32)) for _ in range(100)]
+    found = secrets.scan(frame(spark, list(enumerate(keys)))).filter("spans <> ''").count()
+    assert found >= 98
+
+
 def test_highest_entropy(spark):
     from pyspark.sql import functions as F
 

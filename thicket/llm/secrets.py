@@ -49,6 +49,10 @@ ALLOWED = [
     r"(?i)0123456789|abcdefghij|example|sample|placeholder|xxxx",
     r"^[a-z]+([_-][a-z]+)+$",
 ]
+#: Of ALLOWED, the form of paths excuses only plain words: fewer than LEAST_MIXED places where lower
+#: case turns to upper, capitals to lower case or digits to letters. The SQL has neither this nor MIXED_HEX.
+PATH, MIXED, LEAST_MIXED = ALLOWED[1], r"[a-z][A-Z]|[A-Z]{2}[a-z]|[0-9][A-Za-z]", 3
+MIXED_HEX = ("mixed hex", ["^[0-9a-fA-F]+$", "[0-9]"], 20, 3.25)
 
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
@@ -97,14 +101,15 @@ def highest_entropy(text: Column, width: int) -> Column:
 def suspicious(text: Column) -> Column:
     """Whether a candidate string is random enough for its class and of no allowed form."""
     reaches = F.lit(False)
-    for _, forms, width, least in reversed(CLASSES):
+    for _, forms, width, least in reversed([CLASSES[0], MIXED_HEX, *CLASSES[1:]]):
         fits = F.lit(True)
         for form in forms:
             fits = fits & text.rlike(form)
         reaches = F.when(fits, highest_entropy(text, width) >= least).otherwise(reaches)
     allowed = F.lit(False)
     for form in ALLOWED:
-        allowed = allowed | text.rlike(form)
+        known = text.rlike(form)
+        allowed = allowed | ((known & (F.regexp_count(text, F.lit(MIXED)) < LEAST_MIXED)) if form == PATH else known)
     return F.when(allowed, False).otherwise(reaches)
 
 
