@@ -456,6 +456,18 @@ def test_indexes(spark):
     assert recall(exact, approximate_knn(vec, index, "e", rows[0][1], 10), 10) >= 0.9
 
 
+def test_approximate_knn_finds_all_neighbours(spark):
+    from thicket.operators.indexes import approximate_knn, quantised, recall
+
+    pick = random.Random(4)
+    rows = [(f"v{i:04d}", [pick.gauss(0, 1) for _ in range(40)]) for i in range(3000)]
+    vec = spark.createDataFrame(rows, "id string, e array<double>").cache()
+    query = [pick.gauss(0, 1) for _ in range(40)]
+    for metric in ("cosine", "l2", "ip"):
+        exact = knn.knn(vec, "e", query, 10, metric)
+        assert recall(exact, approximate_knn(vec, quantised(vec, "e"), "e", query, 10, metric), 10) == 1.0
+
+
 def test_plans(spark, sf_dir):
     from thicket.sources.collections import over_tables
 

@@ -8,6 +8,7 @@ another definition for the same place is refused.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,17 +102,34 @@ def _signs(v: Column) -> Column:
 
 
 def approximate_knn(df: DataFrame, index: DataFrame, field: str, query: list[float], k: int, metric: str = "cosine", widen: int = 16) -> DataFrame:
-    """(id, score): the nearest by sign bits, `widen` times as many as asked for, scored exactly.
+    """(id, score): the nearest, from the rows that bounds by 8-bit components leave, scored exactly.
 
-    index: the rows of `quantised`. The exact search (`knn.knn`) is the default everywhere else.
+    index: the rows of `quantised`. `scale * q` is within half a scale of the vector, which bounds each
+    distance; rows whose least distance exceeds the k-th of the greatest ones cannot be among the
+    nearest, so none is lost. `widen` is no longer used.
     """
-    asked = [sum(1 << i for i, x in enumerate(query[at : at + 32]) if x >= 0) for at in range(0, len(query), 32)]
-    there = F.array(*(F.lit(w).cast("bigint") for w in asked))
-    far = F.aggregate(F.zip_with("signs", there, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = index.filter(F.size("q") == len(query)).select("id", far.alias("_far")).orderBy("_far", "id").limit(k * widen)
-    rows = df.join(F.broadcast(near.select("id")), "id", "left_semi")  # k * widen ids
+    asked, approx = vectors.literal(query), F.transform("q", lambda x: x * F.col("scale"))
+    off = F.col("scale") * (0.5 * len(query) ** 0.5 + 1e-6)  # the length of the greatest rounding
+    size = sum(x * x for x in query) ** 0.5
+    rows = index.filter(F.size("q") == len(query)).select("id", "scale", "q", approx.alias("_v"))
+    if metric == "l2":
+        far = F.sqrt(vectors.distance(F.col("_v"), asked, "l2"))
+        low, high = F.pow(F.greatest(far - off, F.lit(0.0)), 2), F.pow(far + off, 2)
+    elif metric == "ip":
+        far = vectors.distance(F.col("_v"), asked, "ip")
+        low, high = far - off * size, far + off * size
+    else:
+        length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+        far = F.acos(F.least(F.greatest(1.0 - vectors.distance(F.col("_v"), asked, metric), F.lit(-1.0)), F.lit(1.0)))
+        turn = F.when(length > off, F.asin(off / length)).otherwise(math.pi)
+        low, high = 1.0 - F.cos(F.greatest(far - turn, F.lit(0.0))), 1.0 - F.cos(F.least(far + turn, F.lit(math.pi)))
+    slack = 1e-9
+    rows = rows.select("id", F.coalesce(low, F.lit(float("-inf"))).alias("_low"), F.coalesce(high, F.lit(float("inf"))).alias("_high"))
+    limit = rows.select("_high").orderBy("_high").limit(k).agg(F.max("_high").alias("_limit"))
+    near = rows.crossJoin(F.broadcast(limit)).filter(F.col("_low") <= F.col("_limit") + slack * (1.0 + F.abs("_limit")))
+    found = df.join(near.select("id"), "id", "left_semi")
     score = vectors.distance(vectors.doubles(F.col(field)), vectors.literal(query), metric)
-    return rows.select("id", score.alias("score")).orderBy("score", "id").limit(k)
+    return found.select("id", score.alias("score")).orderBy("score", "id").limit(k)
 
 
 def recall(exact: DataFrame, found: DataFrame, k: int) -> float:
