@@ -127,6 +127,7 @@ def test_top_k(spark, monkeypatch):
     pick = np.random.RandomState(4)
     rows = [(i, pick.randn(8).round(2).tolist()) for i in range(300)]
     rows += [(400, rows[0][1]), (401, rows[0][1]), (402, rows[0][1])]  # ties
+    rows += [(600, [70000.0] + [0.5] * 7), (601, [1e6, -1e6] * 4), (602, [-3e5] * 8), (650, [2.0**20] + [-1.0] * 7)]  # large values
     rows += [(500, None), (501, [float("nan")] * 8), (502, [1.0, None] * 4), (503, [float("inf")] * 8), (None, [9.0] * 8), (504, []), (505, [0.5] * 10)]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, 5).collect())
     sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
@@ -145,10 +146,24 @@ def test_bit_sliced_sums():
     pick = np.random.RandomState(9)
     values, queries = pick.randint(-500, 500, (130, 5)), pick.randint(-300, 300, (7, 5))
     low, bits, slices = topk.build(values)
+    assert len(slices) == sum(bits)
     found = list(topk.search(np.arange(130), np.arange(130), low, bits, slices, np.full(7, -1), queries, 130))
     assert {(i, r): s for i, r, _, s in found} == {(i, r): int(queries[i] @ values[r]) for i in range(7) for r in range(130)}
 
 
+def test_top_k_of_any_size(spark):
+    """Components beyond 64 bits: exact as long as the scores of the k best fit."""
+    huge = [(0, [1.0, 0.0]), (1, [0.5, 2.0**70]), (2, [0.25, -(2.0**70)]), (50, [0.0, 1.0]), (3, [1.0, 1.0])]
+    kind = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame(huge, kind)
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(1, 3, 65536), (2, 1, 32768), (3, 2, 16384), (4, 50, 0)]
+    with pytest.raises(Exception, match="query 50 and vector 1 "):
+        topk.top_k(df, F.col("vec_id") == 50, 1).collect()
+    assert [(r.vec_id, r.score) for r in topk.top_k(df.filter("vec_id <> 1"), F.col("vec_id") == 50, 2).orderBy("rank").collect()] == [(3, 65536), (0, 0)]
+    assert topk.whole([[2.0**70, -0.001]], 256.0).tolist() == [[1 << 78, -1]]
+
+
 URLS = ["http://a.b.COM/en/1", "https://example.com/en/7x?q", "https://Example.com/EN/7", "http://com/en/", "http://xcom/en/2", "ftp://h.net/de/#f", "http://example.net/de/89", "http://k.org?es/", "http://k.org/es/x", "no scheme/en/", "", None, "://", "http://a.net//de/", "http://u:p@w.example.com:80/en/7"]
 
 

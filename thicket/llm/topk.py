@@ -14,15 +14,20 @@ block gives its k best to one ranking for each query.
 Queries meet blocks by an equality join of (block, chunk of queries): every query meets every block,
 which the question asks for, and a task holds one block and at most about `CHUNK` queries.
 
-Defined cases: vectors that are null or hold a null or non-finite component, or one of 2**24 or more
-after scaling, take no part, nor do rows without an id; vectors of unlike lengths count as filled up
-with zeros; rows with the same id are all candidates, and a query leaves out its own row only; equal
-scores go to the smaller id; an empty table gives an empty result.
+Each component has as many slices as its own range in the block needs, so one large value widens its
+own component only. Whole numbers beyond 62 bits are held as Python's, so no finite value is too large.
+
+Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
+without an id; vectors of unlike lengths count as filled up with zeros; rows with the same id are all
+candidates, and a query leaves out its own row only; equal scores go to the smaller id; a score among a
+query's k best that doesn't fit 64 bits is an error that names both rows; an empty table gives an empty
+result; columns besides the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,50 +38,76 @@ from pyspark.sql import functions as F
 from . import scratch
 
 BLOCK, CHUNK, TOGETHER = 8192, 4096, 64
-INDEX = "block int, n int, dims int, bits int, row binary, vec_id binary, low binary, slices binary"
-FOUND = "q_row long, query_id long, row long, vec_id long, score long"
-
-
-def build(values: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """values: (rows, dims). Gives each component's least value, the number of bits, and the slices
-    as (dims, bits, words) of u64."""
+INDEX = "block int, n int, bits array<int>, row binary, vec_id binary, low array<string>, slices binary"
+FOUND = "q_row long, query_id long, row long, vec_id long, score long, wide boolean"
+#: Whole numbers up to this size are held in 64 bits, with room for one difference.
+SMALL = 1 << 62
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def whole(vectors: list, scale: float) -> np.ndarray:
+    """(rows, dims) of floor(scale * x), exactly; short vectors are filled up with zeros. The type is
+    int64 where all fit, else object."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+    for i, x in enumerate(vectors):
+        out[i, : len(x)] = x
+    with np.errstate(over="ignore"):
+        scaled = out * scale
+    if not len(vectors) or np.abs(scaled).max(initial=0) < SMALL:
+        return np.floor(scaled).astype(np.int64)
+    # Doubles this large are whole numbers, and so is the scale, or their product is below the limit.
+    exact = np.frompyfunc(lambda x, y: math.floor(y) if abs(y) < SMALL else math.floor(Fraction(x) * Fraction(scale)), 2, 1)
+    return exact(out, scaled)
+
+
+def build(values: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """values: (rows, dims). Gives each component's least value, its number of bits, and the slices
+    of all components, one after the other, as (all bits, words) of u64."""
     n, dims = values.shape
     low = values.min(axis=0) if n else np.zeros(dims, dtype=np.int64)
+    high = values.max(axis=0) if n else low
+    if max((int(h) - int(x) for h, x in zip(high, low)), default=0) >= SMALL:
+        values, low = values.astype(object), low.astype(object)
     rest = values - low
-    bits = max(1, int(rest.max(initial=0)).bit_length())
+    bits = [max(1, (int(h) - int(x)).bit_length()) for h, x in zip(high, low)]
     words = -(-n // 64)
-    slices = np.zeros((dims, bits, words), dtype=np.uint64)
-    for j in range(bits):
-        on = np.zeros((dims, words * 64), dtype=np.uint8)
-        on[:, :n] = ((rest >> j) & 1).T
-        slices[:, j] = np.packbits(on, axis=1, bitorder="little").view("<u8")
+    slices = np.zeros((sum(bits), words), dtype=np.uint64)
+    at = 0
+    for d in range(dims):
+        on = np.zeros((bits[d], words * 64), dtype=np.uint8)
+        for j in range(bits[d]):
+            on[j, :n] = ((rest[:, d] >> j) & 1).astype(np.uint8)
+        slices[at : at + bits[d]] = np.packbits(on, axis=1, bitorder="little").view("<u8")
+        at += bits[d]
     return low, bits, slices
 
 
-def sums(slices: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
+def sums(bits: list[int], slices: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
     """Slices of sum(|q| * v) for each query, v being a component or, where q < 0, its complement."""
-    dims, bits, words = slices.shape
+    words = slices.shape[1]
     size = np.abs(queries)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     flip = np.where(queries < 0, full, np.uint64(0))
     total: list[np.ndarray] = []
-    for d in range(dims):
-        value = slices[d][:, None, :] ^ flip[:, d][None, :, None]  # bits, queries, words
+    first = 0
+    for d, wide in enumerate(bits):
+        value = slices[first : first + wide][:, None, :] ^ flip[:, d][None, :, None]  # bits, queries, words
+        first += wide
         for b in range(int(size[:, d].max(initial=0)).bit_length()):
             on = np.where((size[:, d] >> b) & 1 == 1, full, np.uint64(0))[:, None]
             if not on.any():
                 continue
-            while len(total) < b + bits:
+            while len(total) < b + wide:
                 total.append(np.zeros((len(queries), words), dtype=np.uint64))
             carry = None
-            for j in range(bits):
+            for j in range(wide):
                 x, y = total[b + j], value[j] & on
                 half = x ^ y
                 if carry is None:
                     total[b + j], carry = half, x & y
                 else:
                     total[b + j], carry = half ^ carry, (x & y) | (half & carry)
-            at = b + bits
+            at = b + wide
             while carry.any():
                 if at == len(total):
                     total.append(carry)
@@ -102,24 +133,23 @@ def _rows_of(bitmap: np.ndarray, n: int) -> np.ndarray:
 
 
 def search(rows, ids, low, bits, slices, q_rows, queries: np.ndarray, k: int):
-    """(query's place, row, id, score) of each query's k best rows of a block."""
-    n = len(rows)
-    dims = max(queries.shape[1], slices.shape[0])
-    if slices.shape[0] < dims:  # the block's vectors are shorter: zeros
-        slices = np.concatenate([slices, np.zeros((dims - len(slices), *slices.shape[1:]), dtype=np.uint64)])
-        low = np.concatenate([low, np.zeros(dims - len(low), dtype=np.int64)])
-    if queries.shape[1] < dims:
+    """(query's place, row, id, score) of each query's k best rows of a block. Scores have any size."""
+    n, dims = len(rows), len(bits)
+    if queries.shape[1] < dims:  # a shorter query ends in zeros; of a longer one the rest meets zeros
         queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
-    shift = queries @ low - np.where(queries < 0, -queries, 0).sum(axis=1) * ((1 << bits) - 1)
+    queries = queries[:, :dims]
+    exact = queries.astype(object)
+    limits = np.array([(1 << w) - 1 for w in bits], dtype=object)
+    shift = exact @ np.array(low, dtype=object) - np.where(queries < 0, -exact, 0) @ limits if dims else np.zeros(len(queries), dtype=object)
     place = {r: i for i, r in enumerate(rows.tolist())}
-    there = np.zeros(slices.shape[2] * 64, dtype=np.uint8)
+    there = np.zeros(slices.shape[1] * 64, dtype=np.uint8)
     there[:n] = 1
     among = np.repeat(np.packbits(there, bitorder="little").view("<u8")[None], len(queries), axis=0)
     for i, r in enumerate(q_rows.tolist()):
         if r in place:
             word, bit = divmod(place[r], 64)
             among[i, word] &= ~np.uint64(1 << bit)
-    total = sums(slices, queries)
+    total = sums(bits, slices, queries)
     inside, equal = choose(total, among, k)
     for i in range(len(queries)):
         sure, tied = _rows_of(inside[i], n), _rows_of(equal[i], n)
@@ -130,37 +160,34 @@ def search(rows, ids, low, bits, slices, q_rows, queries: np.ndarray, k: int):
             yield i, int(rows[r]), int(ids[r]), score + int(shift[i])
 
 
-def _build(table: pa.Table) -> pa.Table:
-    block = table.column("block")[0].as_py()
-    rows, ids = (table.column(c).to_numpy() for c in ("row", "vec_id"))
-    values = _matrix(table.column("value"))
-    low, bits, slices = build(values)
-    columns = [[block], [len(rows)], [values.shape[1]], [bits], [rows.astype("<i8").tobytes()], [ids.astype("<i8").tobytes()], [low.astype("<i8").tobytes()], [slices.astype("<u8").tobytes()]]
-    kinds = [pa.int32()] * 4 + [pa.binary()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in INDEX.split(", ")])
-
+def _build(scale: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows, ids = (table.column(c).to_numpy() for c in ("row", "vec_id"))
+        low, bits, slices = build(whole(table.column("value").to_pylist(), scale))
+        if not bits:  # no vector has a component
+            slices = np.zeros((0, -(-len(rows) // 64)), dtype=np.uint64)
+        values = [table.column("block")[0].as_py(), len(rows), bits, rows.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), [str(x) for x in low.tolist()], slices.astype("<u8").tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()]
+        return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-def _matrix(column) -> np.ndarray:
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), max(map(len, lists), default=0)), dtype=np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+    return run
 
 
-def _search(k: int):
+def _search(k: int, scale: float):
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for x in index.to_pylist():
-            rows, ids, low = (np.frombuffer(x[c], dtype="<i8") for c in ("row", "vec_id", "low"))
-            slices = np.frombuffer(x["slices"], dtype="<u8").reshape(x["dims"], x["bits"], -1)
+            rows, ids = (np.frombuffer(x[c], dtype="<i8") for c in ("row", "vec_id"))
+            low, words = [int(v) for v in x["low"]], -(-x["n"] // 64)
+            slices = np.frombuffer(x["slices"], dtype="<u8").reshape(sum(x["bits"]), words)
             for at in range(0, asked.num_rows, TOGETHER):
                 some = asked.slice(at, TOGETHER)
                 q_rows, q_ids = some.column("row").to_numpy(), some.column("vec_id").to_numpy()
-                for i, row, vec, score in search(rows, ids, low, x["bits"], slices, q_rows, _matrix(some.column("value")), k):
-                    out.append((int(q_rows[i]), int(q_ids[i]), row, vec, score))
-        columns = list(zip(*out)) if out else [[]] * 5
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
+                for i, row, vec, score in search(rows, ids, low, x["bits"], slices, q_rows, whole(some.column("value").to_pylist(), scale), k):
+                    out.append((int(q_rows[i]), int(q_ids[i]), row, vec, max(LEAST, min(MOST, score)), not LEAST <= score <= MOST))
+        columns = list(zip(*out)) if out else [[]] * 6
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        return pa.table([pa.array(c, pa.bool_() if n == "wide" else pa.int64()) for n, c in zip(names, columns)], names=names)
 
     return run
 
@@ -169,24 +196,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
     """vectors: vec_id, embedding; is_query: a condition on vec_id. Gives query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     scratch.workers_import(spark)
-    sound = F.forall("value", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 24)))
-    rows = scratch.only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * scale).alias("value"))
+    sound = F.forall("value", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = scratch.only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("value"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    rows = rows.select("vec_id", F.transform("value", lambda v: F.floor(v).cast("int")).alias("value"), F.monotonically_increasing_id().alias("row"))
-    rows = scratch.table(rows, "vectors")
+    rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     blocks, chunks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(asked / CHUNK))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    index = scratch.table(dealt.groupBy("block").applyInArrow(_build, INDEX), "slices")
+    index = scratch.table(dealt.groupBy("block").applyInArrow(_build(scale), INDEX), "slices")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     queries = rows.filter(is_query).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int"))
     left = index.withColumn("chunk", every(chunks)).groupBy("block", "chunk")
     right = queries.withColumn("block", every(blocks)).groupBy("block", "chunk")
-    found = left.cogroup(right).applyInArrow(_search(k), FOUND)
+    found = left.cogroup(right).applyInArrow(_search(k, scale), FOUND)
     best = W.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # A score beyond 64 bits was put at the end of their range, so it can't have pushed out a better one.
+    refused = F.raise_error(F.concat(F.lit("the score of query "), "query_id", F.lit(" and vector "), "vec_id", F.lit(" doesn't fit 64 bits"))).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("wide"), refused).otherwise(F.col("score")).alias("score"))
 
 
 SQL = """
