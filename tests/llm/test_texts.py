@@ -157,6 +157,45 @@ def test_licenses_find_every_template_whatever_else_the_file_holds(spark):
     assert got[901].labels == "mit" and got[902].labels == "apache-2.0"
 
 
+def brute_licenses(text):
+    """Labels and score by laying every template at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    labels, best = set(), 0.0
+    for label, template, keys in licenses.TEMPLATES:
+        cut = template.split()
+        keyed = set()
+        for key in keys:
+            at = next(i for i in range(len(cut)) if cut[i : i + len(key.split())] == key.split())
+            keyed |= set(range(at, at + len(key.split())))
+        for start in range(1 - len(cut), len(words)):
+            equal = [i for i, w in enumerate(cut) if 0 <= start + i < len(words) and words[start + i] == w]
+            if keyed <= set(equal) and len(equal) / len(cut) >= licenses.LEAST_COVERED:
+                labels.add(label)
+                best = max(best, len(equal) / len(cut))
+    labels |= {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+    return ",".join(sorted(labels)), best
+
+
+def test_licenses_against_every_template_at_every_place(spark):
+    pick = np.random.RandomState(6)
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()})
+    rows = list(texts())
+    for i in range(150):  # templates with words changed, put in, or cut off, among their own words
+        parts = []
+        for _ in range(pick.randint(1, 6)):
+            words = licenses.TEMPLATES[pick.randint(len(licenses.TEMPLATES))][1].split()
+            for _ in range(pick.randint(0, 4)):
+                at = pick.randint(len(words))
+                words[at : at + pick.randint(0, 2)] = [vocabulary[pick.randint(len(vocabulary))]] * pick.randint(0, 2)
+            parts += [" ".join(words[pick.randint(0, 2) :]), " ".join(vocabulary[k] for k in pick.randint(0, len(vocabulary), pick.randint(0, 9)))]
+        rows.append((100 + i, " ".join(parts).title()))
+    rows.append((300, "Permission LICENSE copies files " * 30_000 + "LICENSED under the mit license"))
+    rows.append((301, "under the mit license İ CC BY"))
+    got = sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in licenses.scan(frame(spark, rows)).collect())
+    want = {i: brute_licenses(t) if i != 300 else ("mit", 1.0) for i, t in rows}
+    assert got == sorted((str(i), want[i][0], round(want[i][1], 9)) for i, _ in rows)
+
+
 def test_secrets(spark):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     extra = [(20, "token=abc: secret=abcdefgh PASSWORD:\"xxxxxx🙂\" api_key = key=12 AKIAX AKIA" + "Z9" * 10), (21, "ab1 ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5 end")]

@@ -1,6 +1,6 @@
 """Licence scans by a positional index of rare words; DataFrame functions only.
 
-Texts are lower-cased and cut into words (runs of letters, digits and characters beyond ASCII).
+Texts are lower-cased (A to Z) and cut into words (runs of letters, digits and characters beyond ASCII).
 Each licence template is a short run of words; an index holds, for each word, the templates and
 places where it stands. The inverse document frequency of the templates' words is counted over all
 documents. Each template is looked up by its anchors, the `ANCHORS` rarest words of its mandatory key
@@ -9,12 +9,14 @@ the file), and votes that agree on the relative position meet in one aggregation
 agree, the file's words there are laid beside the template: its key phrases must stand word for
 word, and the share of equal words must reach `LEAST_COVERED`. That share is the score. As key
 phrases are mandatory, a match holds all anchors, so none is lost whatever else the file holds.
+A hit carries the words around it alone (as many as any template may need), so a long file costs its
+length and its hits, not their product.
 
 Base places, where a fixed phrase's words stand consecutively, are counted besides.
 
 Defined cases: a null text is empty: no words, no places, null first and last word, empty labels,
-score 0; repeated rows are each scanned; an empty table gives an empty result; columns besides the
-id and text are not read.
+score 0; repeated rows and rows with a null id are each scanned; texts of any length are read whole; an
+empty table gives an empty result; columns besides the id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +51,7 @@ TEMPLATES = [
 #: Words too common to say anything about a licence; templates are found by their others.
 COMMON = "a all an and any are as by c for from in is of on or that the this to use with without under v 0 2 3 4".split()
 ANCHORS, LEAST_COVERED = 2, 0.75
-#: Words of a file that the SQL looks up; `scan` has no such limit.
-RAREST = 6
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(lowered: Column) -> Column:
@@ -92,7 +93,7 @@ def scan(docs: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} - set(COMMON))
     asked = sorted({*vocabulary, "cc", "license", "reserved"})
-    lowered = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    lowered = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low"))
     cut = lowered.withColumn("cut", F.split("low", BETWEEN))
     some = F.arrays_overlap("cut", F.array(*map(F.lit, asked)))
     n = F.size("cut")
@@ -124,13 +125,15 @@ def scan(docs: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
     postings = _postings(spark, idf)
     anchors = F.array(*map(F.lit, sorted({r.word for r in postings.select("word").collect()})))
     looked = held.filter(F.arrays_overlap("licence_words", anchors))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
-    hits = looked.select("row", "words", F.explode(hits).alias("hit")).select("row", F.col("words").alias("file"), "hit.*")
-    start = F.col("at") - F.col("place")
-    laid = F.transform("words", lambda w, i: F.when(start + i >= 0, F.get("file", start + i)))
+    # Words from `reach` before a hit to `reach` after it; places outside the file are null.
+    reach = max(len(t.split()) for _, t, _ in TEMPLATES)
+    around = lambda i: F.transform(F.sequence(i - reach, i + reach), lambda k: F.when(k >= 0, F.get("words", k)))
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull())
+    hits = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word"), around(i).alias("near")))
+    hits = looked.select("row", F.explode(hits).alias("hit")).select("row", "hit.*")
     votes = (
         hits.join(F.broadcast(postings), "word")
-        .select("row", "template", "label", start.alias("start"), "words", "keys", laid.alias("laid"))
+        .select("row", "template", "label", (F.col("at") - F.col("place")).alias("start"), "words", "keys", F.slice("near", F.lit(reach + 1) - F.col("place"), F.size("words")).alias("laid"))
         .groupBy("row", "template", "start")
         .agg(F.count(F.lit(1)).alias("votes"), *(F.first(c).alias(c) for c in ("label", "words", "keys", "laid")))
     )
@@ -160,35 +163,32 @@ def scan(docs: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
     )
 
 
-def sql(documents: str = "documents", rarest: int = RAREST, least_covered: float = LEAST_COVERED) -> str:
-    """The same as `scan`, but for its matches, over a table of documents in DuckDB's SQL."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} - set(COMMON))
-    words, keys = [], []
+def sql(documents: str = "documents", least_covered: float = LEAST_COVERED) -> str:
+    """The same as `scan`, but for its matches, over a table of documents in DuckDB's SQL. It has no index:
+    wherever the first word of a template's first key phrase stands, the template is laid."""
+    words, first, keys = [], [], []
     for t, (label, template, phrases) in enumerate(TEMPLATES):
         cut = template.split()
-        words += [f"({t}, '{label}', {i}, '{w}', {len(cut)})" for i, w in enumerate(cut)]
-        for p in phrases:
-            k = p.split()
-            at = next(i for i in range(len(cut)) if cut[i : i + len(k)] == k)
-            keys += [f"({t}, {at + i})" for i in range(len(k))]
+        spans = [next(i for i in range(len(cut)) if cut[i : i + len(p.split())] == p.split()) for p in phrases]
+        keyed = {i for at, p in zip(spans, phrases) for i in range(at, at + len(p.split()))}
+        words += [f"({t}, {i}, '{w}', {i in keyed})" for i, w in enumerate(cut)]
+        first.append(f"({t}, '{label}', {spans[0]}, '{cut[spans[0]]}', {len(cut)}, {len(keyed)})")
     places = " UNION ALL ".join(
         f"SELECT a.r, a.i AS start, '{label}' AS label FROM w a "
         + " ".join(f"JOIN w w{j} ON w{j}.r = a.r AND w{j}.i = a.i + {j} AND w{j}.word = '{x}'" for j, x in enumerate(phrase.split()) if j)
         + f" WHERE a.word = '{phrase.split()[0]}'"
         for phrase, label in PHRASES.items()
     )
-    among = ", ".join(f"'{x}'" for x in vocabulary)
     return (
-        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {documents}), "
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {documents}), "
         "w AS MATERIALIZED (SELECT r, i - 1 AS i, words[i] AS word FROM d, unnest(range(1, len(words) + 1)) AS u(i)), "
-        f"t(template, label, place, word, size) AS (VALUES {', '.join(words)}), k(template, place) AS (VALUES {', '.join(keys)}), "
+        f"t(template, place, word, keyed) AS (VALUES {', '.join(words)}), k(template, label, place, word, size, n_keyed) AS (VALUES {', '.join(first)}), "
         f"p AS ({places}), "
         "base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS labels FROM p GROUP BY r), "
-        f"f AS (SELECT word, ln(1 + (SELECT count(*) FROM d) / (1 + count(DISTINCT r))::DOUBLE) AS idf FROM w WHERE word IN ({among}) GROUP BY word), "
-        f"asked AS (SELECT r, word FROM (SELECT DISTINCT r, w.word, idf FROM w JOIN f ON f.word = w.word) QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) <= {rarest}), "
-        f"votes AS (SELECT w.r, template, w.i - place AS start, any_value(label) AS label, any_value(size) AS size FROM asked JOIN w ON w.r = asked.r AND w.word = asked.word JOIN t ON t.word = w.word WHERE t.word IN ({among}) GROUP BY ALL HAVING count(*) >= 2), "
-        "laid AS (SELECT v.r, v.template, v.start, any_value(v.label) AS label, any_value(v.size) AS size, count(*) AS equal, count(k.place) AS keyed FROM votes v JOIN t ON t.template = v.template JOIN w ON w.r = v.r AND w.i = v.start + t.place AND w.word = t.word LEFT JOIN (SELECT DISTINCT * FROM k) k ON k.template = t.template AND k.place = t.place GROUP BY v.r, v.template, v.start), "
-        f"found AS (SELECT r, list_distinct(list(label)) AS labels, max(equal / size::DOUBLE) AS score FROM laid l WHERE equal / size::DOUBLE >= {least_covered} AND keyed = (SELECT count(DISTINCT place) FROM k WHERE k.template = l.template) GROUP BY r) "
+        "tried AS (SELECT w.r, k.template, k.label, k.size, k.n_keyed, w.i - k.place AS start FROM w JOIN k ON k.word = w.word), "
+        "laid AS (SELECT x.r, x.template, x.start, any_value(x.label) AS label, any_value(x.size) AS size, any_value(x.n_keyed) AS n_keyed, count(*) AS equal, count(*) FILTER (t.keyed) AS keyed "
+        "FROM tried x JOIN t ON t.template = x.template JOIN w ON w.r = x.r AND w.i = x.start + t.place AND w.word = t.word GROUP BY x.r, x.template, x.start), "
+        f"found AS (SELECT r, list_distinct(list(label)) AS labels, max(equal / size::DOUBLE) AS score FROM laid WHERE equal / size::DOUBLE >= {least_covered} AND keyed = n_keyed GROUP BY r) "
         "SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels, "
         "array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN base ON base.r = d.r LEFT JOIN found ON found.r = d.r"
     )
