@@ -229,14 +229,67 @@ def test_secrets_of_the_form_of_paths_and_of_mixed_hex(spark):
     assert found >= 98
 
 
+def highest(t, width):
+    windows = [collections.Counter(t[i : i + width]).values() for i in range(len(t) - width + 1)]
+    return max(-sum(c / width * math.log2(c / width) for c in w) for w in windows)
+
+
 def test_highest_entropy(spark):
     from pyspark.sql import functions as F
 
-    samples = ["a" * 30, "abcdefghijklmnopqrstuvwxyz0123", "aB3dE5fG7hI9jK1lM3nO5pQ7", "thethethethethethethethe" * 3]
-    got = spark.createDataFrame([(s,) for s in samples], "t string").select("t", secrets.highest_entropy(F.col("t"), 20).alias("e")).collect()
-    for r in got:
-        windows = [collections.Counter(r.t[i : i + 20]).values() for i in range(len(r.t) - 19)]
-        assert abs(r.e - max(-sum(c / 20 * math.log2(c / 20) for c in w) for w in windows)) < 1e-9
+    pick = np.random.RandomState(8)
+    samples = ["a" * 30, "abcdefghijklmnopqrstuvwxyz0123", "aB3dE5fG7hI9jK1lM3nO5pQ7", "thethethethethethethethe" * 3, "x" * 20]
+    samples += ["".join(pick.choice(list("abcdefgé🙂+/=")[: pick.randint(2, 12)], pick.randint(20, 90))) for _ in range(60)]
+    for width in (7, 20):
+        got = spark.createDataFrame([(s,) for s in samples], "t string").select("t", secrets.highest_entropy(F.col("t"), width).alias("e")).collect()
+        for r in got:
+            assert abs(r.e - highest(r.t, width)) < 1e-9
+
+
+def brute_spans(t):
+    """All spans by Python's own regular expressions, entropies counted afresh for each window."""
+    t = t or ""
+    assign = re.compile(secrets.ASSIGN, re.A)
+    base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    for m in re.finditer(secrets.CANDIDATE, t):
+        x = m[0]
+        allowed = any(re.search(f, x) and (f != secrets.PATH or len(re.findall(secrets.MIXED, x)) < secrets.LEAST_MIXED) for f in secrets.ALLOWED)
+        least = next((e for _, forms, e in secrets.CLASSES if all(re.search(f, x) for f in forms)), None)
+        if not allowed and least is not None and highest(x, secrets.WIDTH) >= least and not any(a < m.end() and m.start() < b for a, _, b in base if _ < 3):
+            base.append((m.start(), 3, m.end()))
+    return sorted(base)
+
+
+def test_secrets_against_brute_force(spark, monkeypatch):
+    """Many spans of all kinds in one text, touching and overlapping; folds in small pieces."""
+    pick = np.random.RandomState(12)
+    parts = ["token=abcdefgh", "é🙂", " ", " ", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "key: ", "Secret : 'x9_x9_x9", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYQ2mPLzKEYs", "zqxwkvjhgtrpbnmcdfls", "/usr/local/share/python/lib", "ThisIsAVeryLongClassNameHere"]
+    rows = [(i, "".join(parts[k] for k in pick.randint(0, len(parts), pick.randint(1, 60)))) for i in range(60)] + texts()[1:]
+    monkeypatch.setattr(secrets, "PIECE", 4)
+    got = sorted((str(r.doc_id), r.spans) for r in secrets.scan(frame(spark, rows)).collect())
+    assert got == sorted((str(i), ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_spans(t))) for i, t in rows)
+    want = {}
+    for i, t in rows[:60]:
+        out, at = "", 0
+        for a, _, b in brute_spans(t):
+            out += "" if a < at else t[at:a] + "[SECRET]"
+            at = max(at, b)
+        want[i] = out + t[at:]
+    assert {r["doc_id"]: r[1] for r in secrets.redact(frame(spark, rows[:60])).collect()} == want
+
+
+def test_secrets_in_a_run_of_a_million_characters(spark):
+    import time
+
+    pick = np.random.RandomState(4)
+    letters = "".join(pick.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    began = time.time()
+    assert secrets.scan(frame(spark, [(1, letters)])).collect()[0].spans == "entropy:0:1000000"
+    assert time.time() - began < 90
+    many = " ".join(f"token=abcdefgh{i}" for i in range(20_000))
+    assert secrets.scan(frame(spark, [(1, many)])).collect()[0].n_assign == 20_000
 
 
 def test_mixing(spark, sf_dir):

@@ -1,18 +1,21 @@
 """Secret scans; DataFrame functions only.
 
 Three base patterns (assignments, access keys, long hexadecimal runs) give spans. Besides them, every
-long run of key characters is a candidate, and a window of fixed width slides over it: when a
-character enters and one leaves, only their two counts change, so the sum of c * log2(c) over the
-window's characters, and with it the Shannon entropy, is kept up by those two differences. A
-candidate whose highest window entropy reaches the limit of its character class is a span of kind
-`entropy`, unless the allow-list knows its form or it overlaps a base span.
+long run of key characters is a candidate, and a window of fixed width slides over it. The window's
+counts of each character are carried along: when a character enters and one leaves, those two counts
+change by one, and with them the sum of c * log2(c), and so the Shannon entropy. A candidate whose
+highest window entropy reaches the limit of its character class is a span of kind `entropy`, unless
+the allow-list knows its form or it overlaps a base span.
 
 Spans are offsets in code points, the end exclusive. A document is one row throughout: nothing is
-shuffled, and the regular expressions that find spans run only on texts that a cheap test passes.
-
-Defined cases: a null text is empty: no spans, the digest of the empty string; repeated rows are each
-scanned; an empty table gives an empty result; columns besides the id and text are not read by
-`scan`, and are kept by `redact`.
+shuffled, and the regular expressions that find spans run only on texts that a cheap test passes. Time
+grows in proportion to a text's length, its longest run and its number of matches: offsets, entropies and
+overlaps are running folds, and a fold that returns an array does so in pieces (`running`).
+
+Defined cases: a null text is empty: no spans, the digest of the empty string; texts and runs of any
+length are read whole; repeated rows and rows with a null id are each scanned; an empty table gives an
+empty result; columns besides the id and text are not read by `scan`, and are kept by `redact`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,27 +37,54 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 ASSIGNED = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 CANDIDATE, LEAST_CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}", 20
-#: Character classes, narrowest first: name, patterns that all fit a candidate of it, window, least
-#: entropy in bits.
+WIDTH = 20
+CONSONANTS = "[bcdfghjklmnpqrstvwxz]"
+#: Character classes, narrowest first: name, patterns that all fit a candidate of it, least entropy in
+#: bits. Letters alone say less than letters and digits, so they need a run of consonants that words
+#: don't have, or an entropy that words don't reach.
 CLASSES = [
-    ("hex", ["^[0-9a-f]+$|^[0-9A-F]+$"], 20, 2.95),
-    ("upper", ["^[A-Z0-9]+$", "[0-9]"], 20, 3.25),
-    ("letters", ["^[A-Za-z]+$"], 20, 4.15),
-    ("base64", ["[0-9]", "[A-Za-z]"], 20, 3.65),
+    ("hex", ["^[0-9a-f]+$|^[0-9A-F]+$"], 2.95),
+    ("mixed hex", ["^[0-9a-fA-F]+$", "[0-9]"], 3.25),
+    ("upper", ["^[A-Z0-9]+$", "[0-9]"], 3.25),
+    ("lower letters", ["^[a-z]+$", CONSONANTS + "{6}"], 3.7),
+    ("odd letters", ["^[A-Za-z+/_=-]+$", "[A-Z]", "(?i)" + CONSONANTS + "{5}"], 3.8),
+    ("letters", ["^[A-Za-z]+$"], 4.15),
+    ("base64", ["[0-9]", "[A-Za-z]"], 3.65),
 ]
 #: Forms that look random and are no secrets: UUIDs, paths, counting runs, samples, hyphenated words.
 ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^/?([A-Za-z_-][A-Za-z0-9_-]*/){2,}[A-Za-z0-9_=-]*$",
-    r"(?i)0123456789|abcdefghij|example|sample|placeholder|xxxx",
+    r"(?i)^.{0,60}(0123456789|abcdefghij|example|sample|placeholder|xxxx).{0,60}$",
     r"^[a-z]+([_-][a-z]+)+$",
 ]
 #: Of ALLOWED, the form of paths excuses only plain words: fewer than LEAST_MIXED places where lower
-#: case turns to upper, capitals to lower case or digits to letters. The SQL has neither this nor MIXED_HEX.
+#: case turns to upper, capitals to lower case or digits to letters.
 PATH, MIXED, LEAST_MIXED = ALLOWED[1], r"[a-z][A-Z]|[A-Z]{2}[a-z]|[0-9][A-Za-z]", 3
-MIXED_HEX = ("mixed hex", ["^[0-9a-fA-F]+$", "[0-9]"], 20, 3.25)
 
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
+#: Items that a running fold takes at a time.
+PIECE = 256
+
+
+def running(items: Column, begin: Column, step, kind: str) -> Column:
+    """The array of what `step` (state, item) -> (state, output) puts out along `items`; outputs are arrays
+    of `kind`. Adding to an array copies it, so pieces are folded apart and then put together."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int")), lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE)))
+
+    def within(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def across(acc: Column, piece: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(piece, start, within)
+        # Bound to one variable, so that the inner fold runs once.
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.array_append(acc["out"], d["out"]).alias("out"))), 1)
+
+    start = F.struct(begin.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    found = F.flatten(F.aggregate(pieces, start, across, lambda acc: acc["out"]))
+    return F.when(F.size(items) > 0, found).otherwise(F.array().cast(kind))
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -62,16 +92,18 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     match, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     shown = match if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.filter(F.arrays_zip(between.alias("gap"), match.alias("hit"), shown.alias("shown")), lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    empty = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        found = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["shown"].alias("text"))
-        return F.struct(end.alias("at"), F.array_append(F.coalesce(acc["out"], empty), found).alias("out"))
+        return end, F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["shown"].alias("text")))
 
-    return F.coalesce(F.aggregate(parts, start, step, lambda acc: acc["out"]), empty)
+    return _bound(parts, lambda p: running(p, F.lit(0), step, SPAN))
+
+
+def _bound(value: Column, use) -> Column:
+    """`use` of a variable that holds `value`, which is so computed once wherever it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _c_log_c(n: Column) -> Column:
@@ -79,38 +111,83 @@ def _c_log_c(n: Column) -> Column:
 
 
 def highest_entropy(text: Column, width: int) -> Column:
-    """The highest Shannon entropy, in bits, of a window of `width` characters that slides over `text`."""
+    """The highest Shannon entropy, in bits, of a window of `width` characters that slides over `text`.
+
+    `counts` holds one character for each different one of the text, `0` raised by its count in the window."""
+    if not 0 < width < 64:
+        raise ValueError("a window has 1 to 63 characters")
+
+    def entropy(of: Column) -> Column:
+        letters, codes = of["letters"], of["codes"]
+        leave = F.concat(F.array_repeat(F.lit(0).cast("bigint"), width), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - width, F.lit(0))))
+        moves = F.slice(F.zip_with(codes, leave, lambda a, b: F.struct(a.alias("enter"), b.alias("leave"))), F.lit(1), F.size(codes))
+
+        def held(counts: Column, code: Column) -> Column:
+            return F.ascii(F.substring(counts, code, F.lit(1))) - 48
+
+        def put(counts: Column, code: Column, n: Column) -> Column:
+            return F.overlay(counts, F.char(n + 48), code.cast("int"), F.lit(1))
 
-    def count(letter: Column, among: Column) -> Column:
-        return F.length(among) - F.length(F.replace(among, letter, F.lit("")))
+        def step(acc: Column, move: Column) -> Column:
+            def left(n: Column) -> Column:  # n: the count of what leaves
+                gone = F.when(move["leave"] > 0, put(acc["counts"], move["leave"], n - 1)).otherwise(acc["counts"])
+                less = F.when(move["leave"] > 0, _c_log_c(n) - _c_log_c(n - 1)).otherwise(0.0)
+                return F.struct(gone.alias("counts"), (acc["total"] - less).alias("total"))
 
-    def step(acc: Column, i: Column) -> Column:
-        stays = F.substring(text, F.greatest(i - (width - 1), F.lit(0)) + 1, F.least(i, F.lit(width - 1)))
-        enters = count(F.substring(text, i + 1, F.lit(1)), stays)
-        leaves = F.when(i >= width, count(F.substring(text, i - width + 1, F.lit(1)), stays)).otherwise(0)
-        less = F.when(i >= width, _c_log_c(leaves + 1) - _c_log_c(leaves)).otherwise(0.0)
-        total = acc["total"] + _c_log_c(enters + 1) - _c_log_c(enters) - less
-        least = F.when((i >= width - 1) & (total < acc["least"]), total).otherwise(acc["least"])
-        return F.struct(total.alias("total"), least.alias("least"))
+            def entered(was: Column) -> Column:
+                def with_count(n: Column) -> Column:  # n: the count before of what enters
+                    total = was["total"] + _c_log_c(n + 1) - _c_log_c(n)
+                    least = F.when((acc["n"] >= width - 1) & (total < acc["least"]), total).otherwise(acc["least"])
+                    return F.struct(put(was["counts"], move["enter"], n + 1).alias("counts"), total.alias("total"), (acc["n"] + 1).alias("n"), least.alias("least"))
 
-    begin = F.struct(F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"))
-    places = F.sequence(F.lit(0), F.length(text) - 1)
-    return F.lit(math.log2(width)) - F.aggregate(places, begin, step, lambda acc: acc["least"]) / F.lit(float(width))
+                return _bound(held(was["counts"], move["enter"]), with_count)
+
+            return _bound(_bound(held(acc["counts"], F.greatest(move["leave"], F.lit(1))), left), entered)
+
+        begin = F.struct(F.repeat(F.lit("0"), F.size(letters)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(float("inf")).alias("least"))
+        return F.lit(math.log2(width)) - F.aggregate(moves, begin, step, lambda acc: acc["least"]) / F.lit(float(width))
+
+    def coded(letters: Column) -> Column:
+        codes = F.transform(F.split(text, ""), lambda c: F.array_position(letters, c))
+        return F.struct(letters.alias("letters"), codes.alias("codes"))
+
+    return _bound(_bound(F.array_distinct(F.split(text, "")), coded), entropy)
 
 
 def suspicious(text: Column) -> Column:
     """Whether a candidate string is random enough for its class and of no allowed form."""
-    reaches = F.lit(False)
-    for _, forms, width, least in reversed([CLASSES[0], MIXED_HEX, *CLASSES[1:]]):
+    limit = F.lit(None).cast("double")
+    for _, forms, least in reversed(CLASSES):
         fits = F.lit(True)
         for form in forms:
             fits = fits & text.rlike(form)
-        reaches = F.when(fits, highest_entropy(text, width) >= least).otherwise(reaches)
+        limit = F.when(fits, F.lit(least)).otherwise(limit)
     allowed = F.lit(False)
     for form in ALLOWED:
         known = text.rlike(form)
         allowed = allowed | ((known & (F.regexp_count(text, F.lit(MIXED)) < LEAST_MIXED)) if form == PATH else known)
-    return F.when(allowed, False).otherwise(reaches)
+    limit = F.when(allowed, None).otherwise(limit)
+    return _bound(limit, lambda least: F.when(least.isNotNull(), highest_entropy(text, WIDTH) >= least).otherwise(False))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those of the method that overlap a base span. One fold carries the furthest end of
+    the base spans before, one from behind the nearest start of those after."""
+    kept = SPAN.replace("struct<", "struct<ok:boolean,", 1)
+
+    def after(end: Column, s: Column) -> tuple[Column, Column]:
+        base = s["kind"] < 3
+        fields = [s[f].alias(f) for f in ("start", "kind", "end", "text")]
+        return F.when(base, F.greatest(end, s["end"])).otherwise(end), F.array(F.struct((base | (end <= s["start"])).alias("ok"), *fields))
+
+    def before(start: Column, s: Column) -> tuple[Column, Column]:
+        base = s["kind"] < 3
+        span = F.struct(*(s[f].alias(f) for f in ("start", "kind", "end", "text")))
+        fits = base | (s["ok"] & (s["end"] <= start))
+        return F.when(base, s["start"]).otherwise(start), F.when(fits, F.array(span)).otherwise(F.array().cast(SPAN))
+
+    ahead = running(spans, F.lit(0), after, kept)
+    return _bound(F.reverse(ahead), lambda back: F.reverse(running(back, F.lit(2**31 - 1), before, SPAN)))
 
 
 def spans_of(text: Column, low: Column, long_run: Column) -> tuple[Column, Column]:
@@ -135,9 +212,10 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"_low": F.lower("_text"), "_run": F.col("_text").rlike(CANDIDATE.replace(",}", "}"))})
     base, more = spans_of(F.col("_text"), F.col("_low"), F.col("_run"))
-    rows = rows.withColumns({"_base": base, "_more": more})
-    apart = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = rows.withColumns({"base_spans": F.array_sort("_base"), "spans": F.array_sort(F.concat("_base", apart))})
+    rows = rows.withColumns({"_base": F.array_sort(base), "_more": more})
+    mixed = (F.size("_base") > 0) & (F.size("_more") > 0)
+    both = F.array_sort(F.concat("_base", "_more"))
+    rows = rows.withColumns({"base_spans": F.col("_base"), "spans": F.when(mixed, _bound(both, _apart)).otherwise(both)})
     return rows.drop("_text", "_low", "_run", "_base", "_more")
 
 
@@ -157,20 +235,20 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The input with every span in `text` replaced by `mark`; a null text stays null."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        inside = s["start"] < acc["at"]  # overlaps the one before, which has its mark already
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"),
-        )
+    def marked(letters: Column) -> Column:  # Spark finds a place in a string by counting from its start, in an array at once
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            gap = F.array_join(F.slice(letters, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            inside = s["start"] < at  # overlaps the one before, which has its mark already
+            return F.greatest(at, s["end"]), F.when(inside, F.array().cast("array<string>")).otherwise(F.array(gap, F.lit(mark)))
+
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        rest = F.array_join(F.slice(letters, last + 1, F.size(letters)), "")
+        return F.concat(F.array_join(running(F.col("spans"), F.lit(0), step, "array<string>"), ""), rest)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     rows, back = scratch.beside(docs, "text")
     at = f"c{docs.columns.index('text')}"
     found = find(rows)
-    return found.withColumn(at, F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).select(*back)
+    return found.withColumn(at, F.when(F.size("spans") > 0, _bound(F.split("text", ""), marked)).otherwise(F.col("text"))).select(*back)
 
 
 def sql(documents: str = "documents") -> str:
@@ -183,10 +261,10 @@ def sql(documents: str = "documents") -> str:
             f"FROM (SELECT r, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', {shown}) AS shown, string_split_regex(t, '{quoted}') AS gaps FROM d), unnest(range(1, len(m) + 1)) AS u(i)"
         )
 
-    width = CLASSES[0][2]
-    highest = f"list_max(list_transform(range(1, length(shown) - {width} + 2), lambda i: list_aggregate(string_split(substr(shown, i, {width}), ''), 'entropy')))"
-    fits = " ".join("WHEN " + " AND ".join(f"regexp_matches(shown, '{f}')" for f in forms) + f" THEN {highest} >= {least}" for _, forms, _, least in CLASSES)
-    allowed = " OR ".join(f"regexp_matches(shown, '{f}')" for f in ALLOWED)
+    highest = f"list_max(list_transform(range(1, length(shown) - {WIDTH} + 2), lambda i: list_aggregate(string_split(substr(shown, i, {WIDTH}), ''), 'entropy')))"
+    fits = " ".join("WHEN " + " AND ".join(f"regexp_matches(shown, '{f}')" for f in forms) + f" THEN {highest} >= {least}" for _, forms, least in CLASSES)
+    plain = f" AND len(regexp_extract_all(shown, '{MIXED}')) < {LEAST_MIXED}"
+    allowed = " OR ".join(f"(regexp_matches(shown, '{f}'){plain * (f == PATH)})" for f in ALLOWED)
     joined = "string_agg(k || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
     return (
         f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}), "
