@@ -301,16 +301,37 @@ def test_mixing(spark, sf_dir):
         share = (tokens / total) ** mixing.POWERS[m]
         want = share / share.sum()
         got = (rows.n_tokens * rows.weight).groupby(rows[m]).sum() / total
-        assert abs(got - want).max() < 2e-3, m
+        assert abs(got / want - 1).max() < 0.005, m
+        expected = (rows.n_tokens * rows.chance).groupby(rows[m]).sum()  # what the sample holds on average
+        assert abs(expected / expected.sum() / want - 1).max() < 0.01, m
+    assert (rows.chance == 1).any() and (rows.n_tokens * rows.chance).sum() > 0.5 * total
     assert set(mixing.sample(docs).toPandas().doc_id) == set(rows[rows.kept].doc_id)
     edge = mixing.weigh(frame(spark)).collect()
     assert len(edge) == len(texts()) and all(r.n_tokens >= 1 and 0 <= r.chance <= 1 for r in edge)
     assert mixing.sample(frame(spark)).columns == frame(spark).columns
-    assert mixing.weigh(frame(spark, [])).count() == 0
-    aim = {"source": {"src0": 0.5, "src1": 0.25, "src2": 0.25}}
-    aimed = mixing.weigh(docs.withColumn("source", docs.source.substr(1, 4)).filter("source in ('src0','src1','src2')"), aim).toPandas()
-    got = (aimed.n_tokens * aimed.weight).groupby(aimed.source).sum()
-    assert abs(got / got.sum() - [0.5, 0.25, 0.25]).max() < 2e-3
+    assert mixing.weigh(frame(spark, [])).count() == 0 and mixing.sample(frame(spark, [])).count() == 0
+
+
+def test_mixing_to_given_targets(spark, monkeypatch):
+    """A hot source; cells as arrays and as a table give the same chances, and those meet the targets."""
+    pick, rows = np.random.RandomState(3), []
+    for i in range(3000):
+        source = "hot" if i % 3 == 0 else f"s{pick.randint(4)}"
+        lang = "en" if pick.rand() < (0.6 if source == "hot" else 0.4) else "de"
+        rows.append((i, "word " * int(pick.randint(1, 30)), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    aim = {"source": {"hot": 0.2, "s0": 0.2, "s1": 0.2, "s2": 0.2, "s3": 0.2}, "lang": {"en": 0.45, "de": 0.55}}
+    few = mixing.weigh(docs, aim).toPandas()
+    for m in ("source", "lang"):
+        got = (few.n_tokens * few.chance).groupby(few[m]).sum()
+        assert abs(got / got.sum() / got.index.map(aim[m]) - 1).max() < 0.01
+        kept = few[few.kept].groupby(m).n_tokens.sum()
+        assert abs(kept / kept.sum() - kept.index.map(aim[m])).max() < 0.05
+    without = mixing.weigh(docs, {"lang": {"de": 1.0}}).toPandas()
+    assert not without[(without.lang == "en") & without.kept].size and without[without.lang == "de"].kept.any()
+    monkeypatch.setattr(mixing, "FEW_CELLS", 1)
+    many = mixing.weigh(docs, aim).toPandas()
+    assert few.sort_values("doc_id").chance.round(5).tolist() == many.sort_values("doc_id").chance.round(5).tolist()
 
 
 def test_toxicity_learns_and_tolerates_gaps(spark):

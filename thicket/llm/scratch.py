@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -63,6 +63,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*(F.col(f"c{at.index(n)}").alias(n) for n in names))
 
 
+def bound(value: Column, use) -> Column:
+    """`use` of a variable that holds `value`, which is so computed once wherever it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def beside(df: DataFrame, *names: str) -> tuple[DataFrame, list]:
     """All columns as c0, c1 and so on, these once more under their names, and what selects the
     input's columns again: helper columns can't clash with any."""

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .scratch import bound
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,12 +99,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         end = begin + F.length(x["hit"])
         return end, F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["shown"].alias("text")))
 
-    return _bound(parts, lambda p: running(p, F.lit(0), step, SPAN))
-
-
-def _bound(value: Column, use) -> Column:
-    """`use` of a variable that holds `value`, which is so computed once wherever it is mentioned."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return bound(parts, lambda p: running(p, F.lit(0), step, SPAN))
 
 
 def _c_log_c(n: Column) -> Column:
@@ -140,9 +136,9 @@ def highest_entropy(text: Column, width: int) -> Column:
                     least = F.when((acc["n"] >= width - 1) & (total < acc["least"]), total).otherwise(acc["least"])
                     return F.struct(put(was["counts"], move["enter"], n + 1).alias("counts"), total.alias("total"), (acc["n"] + 1).alias("n"), least.alias("least"))
 
-                return _bound(held(was["counts"], move["enter"]), with_count)
+                return bound(held(was["counts"], move["enter"]), with_count)
 
-            return _bound(_bound(held(acc["counts"], F.greatest(move["leave"], F.lit(1))), left), entered)
+            return bound(bound(held(acc["counts"], F.greatest(move["leave"], F.lit(1))), left), entered)
 
         begin = F.struct(F.repeat(F.lit("0"), F.size(letters)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(float("inf")).alias("least"))
         return F.lit(math.log2(width)) - F.aggregate(moves, begin, step, lambda acc: acc["least"]) / F.lit(float(width))
@@ -151,7 +147,7 @@ def highest_entropy(text: Column, width: int) -> Column:
         codes = F.transform(F.split(text, ""), lambda c: F.array_position(letters, c))
         return F.struct(letters.alias("letters"), codes.alias("codes"))
 
-    return _bound(_bound(F.array_distinct(F.split(text, "")), coded), entropy)
+    return bound(bound(F.array_distinct(F.split(text, "")), coded), entropy)
 
 
 def suspicious(text: Column) -> Column:
@@ -167,7 +163,7 @@ def suspicious(text: Column) -> Column:
         known = text.rlike(form)
         allowed = allowed | ((known & (F.regexp_count(text, F.lit(MIXED)) < LEAST_MIXED)) if form == PATH else known)
     limit = F.when(allowed, None).otherwise(limit)
-    return _bound(limit, lambda least: F.when(least.isNotNull(), highest_entropy(text, WIDTH) >= least).otherwise(False))
+    return bound(limit, lambda least: F.when(least.isNotNull(), highest_entropy(text, WIDTH) >= least).otherwise(False))
 
 
 def _apart(spans: Column) -> Column:
@@ -187,7 +183,7 @@ def _apart(spans: Column) -> Column:
         return F.when(base, s["start"]).otherwise(start), F.when(fits, F.array(span)).otherwise(F.array().cast(SPAN))
 
     ahead = running(spans, F.lit(0), after, kept)
-    return _bound(F.reverse(ahead), lambda back: F.reverse(running(back, F.lit(2**31 - 1), before, SPAN)))
+    return bound(F.reverse(ahead), lambda back: F.reverse(running(back, F.lit(2**31 - 1), before, SPAN)))
 
 
 def spans_of(text: Column, low: Column, long_run: Column) -> tuple[Column, Column]:
@@ -215,7 +211,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_base": F.array_sort(base), "_more": more})
     mixed = (F.size("_base") > 0) & (F.size("_more") > 0)
     both = F.array_sort(F.concat("_base", "_more"))
-    rows = rows.withColumns({"base_spans": F.col("_base"), "spans": F.when(mixed, _bound(both, _apart)).otherwise(both)})
+    rows = rows.withColumns({"base_spans": F.col("_base"), "spans": F.when(mixed, bound(both, _apart)).otherwise(both)})
     return rows.drop("_text", "_low", "_run", "_base", "_more")
 
 
@@ -248,7 +244,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rows, back = scratch.beside(docs, "text")
     at = f"c{docs.columns.index('text')}"
     found = find(rows)
-    return found.withColumn(at, F.when(F.size("spans") > 0, _bound(F.split("text", ""), marked)).otherwise(F.col("text"))).select(*back)
+    return found.withColumn(at, F.when(F.size("spans") > 0, bound(F.split("text", ""), marked)).otherwise(F.col("text"))).select(*back)
 
 
 def sql(documents: str = "documents") -> str:
