@@ -192,14 +192,57 @@ def test_url_rules_and_models(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_url_model_sums_to_one():
-    model = urls.Model(["/en/1", "/en/22", "/fr/3"], 3, 12)
-    letters = set("/enfr123\x03") | set("456")
-    assert abs(sum(model.chance("/en", c) for c in letters) - 1) < 1e-9
-    context = {c: model.counts["en"].get(c, 0) for c in letters}
-    total, kinds = sum(context.values()), sum(1 for v in context.values() if v)
-    for c in letters:
-        assert abs(model.chance("en", c) - (context[c] + kinds * model.chance("n", c)) / (total + kinds)) < 1e-12
+def brute_chance(texts, context, letter, letters):
+    """Witten-Bell by counting in the padded texts themselves."""
+    lower = brute_chance(texts, context[1:], letter, letters) if context else 1 / letters
+    padded = ["\x01" * 4 + t + "\x03" for t in texts]
+    after = [s[i] for s in padded for i in range(4, len(s)) if s[i - len(context) : i] == context]
+    kinds = len(set(after))
+    return (after.count(letter) + kinds * lower) / (len(after) + kinds) if after else lower
+
+
+def test_url_model_against_counting():
+    accepted, rejected = ["/en/1", "/en/22", "/fr/3", "a.\x02/é"], ["/xx/9?q=1", "/en/9", "", "/en/9🙂"]
+    models = [urls.Model(part, 4, 20) for part in (accepted, rejected)]
+    for text in ["/en/1", "/xy/\x01\x01", "", "🙂é", "/en/22/en/22"]:
+        contexts, grams, size = urls.windows([text, "x"], 4)
+        assert size.tolist() == [len(text) + 1, 2]
+        s = "\x01" * 4 + text + "\x03"
+        for model, part in zip(models, (accepted, rejected)):
+            got = model.chances(contexts, grams)[: len(text) + 1]
+            want = [brute_chance(part, s[i - 4 : i], s[i], 20) for i in range(4, len(s))]
+            assert np.allclose(got, want, rtol=1e-12)
+    every = set("".join(accepted)) | {"\x03"}  # chances of all characters sum to 1
+    assert abs(sum(brute_chance(accepted, "/en/", c, len(every)) for c in every) - 1) < 1e-9
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Every verdict of the method, from counts made anew in plain Python."""
+    pick = random.Random(1)
+    name = lambda: "".join(pick.choice("abcdefgh") for _ in range(4))
+    rows = [(i, f"http://{name()}.example.com/en/7{i}") for i in range(30)] + [(100 + i, f"http://{name()}.org/es/{name()}") for i in range(30)]
+    rows += [(200 + i, f"http://{name()}.info/{pick.choice(['en/7', 'es/'])}{name()}") for i in range(25)]
+    rows += [(300, "http://x.info/" + "es/" * 20_000), (None, "http://x.info/en/71"), (301, None), (302, "http://y.org/es/" + "z" * 5000), (303, "")]
+    pages = spark.createDataFrame([(i, u, "r", 1.5) for i, u in rows], "page_id long, url string, verdict string, rejected double").repartition(3)
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert got[302].rule == "org/es/" and got[303].verdict == got[301].verdict == "allow"
+    ids = [u for _, u in rows if u and len(u) <= urls.LONGEST]
+    order = {r.url: k for k, r in enumerate(spark.createDataFrame([(u,) for u in set(ids)], "url string").orderBy(F.xxhash64("url"), "url").collect())}
+    examples = [[urls.shown(u) for u in sorted({u for u in ids if brute_rule(u)[3] == v}, key=order.get)] for v in ("allow", "block")]
+    fit, held = [[x for i, x in enumerate(p) if i % 4] for p in examples], [p[::4] for p in examples]
+    letters = len(set("".join(examples[0] + examples[1]))) + 2
+
+    def ratio(t):
+        s = "\x01" * 4 + t + "\x03"
+        logs = [math.log(brute_chance(fit[1], s[i - 4 : i], s[i], letters)) - math.log(brute_chance(fit[0], s[i - 4 : i], s[i], letters)) for i in range(4, len(s))]
+        return sum(logs) / len(logs)
+
+    x, y = np.array([ratio(t) for p in held for t in p]), np.repeat([0.0, 1.0], [len(p) for p in held])
+    slope, shift = urls._logistic(x, y, np.where(y == 1, 0.5 / len(held[1]), 0.5 / len(held[0])))
+    for i, u in rows[60:85] + [rows[86]]:
+        p = 1 / (1 + math.exp(-(slope * ratio(urls.shown(u)) + shift)))
+        assert abs(got[i].rejected - p) < 1e-9 and got[i].verdict == ("block" if p >= 0.5 else "allow")
+    assert got[300].verdict == "block"
 
 
 def test_pipeline_stages(spark, sf_dir):
