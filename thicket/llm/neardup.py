@@ -5,21 +5,32 @@
    equal band share a bucket. All shingles weigh 1, so registers agree with the probability of the
    Jaccard similarity of the sets, which is what step 3 verifies, however often passages repeat. At a
    similarity of 0.8, 28 bands of 6 registers miss a pair with a probability of about 0.0002.
-3. Buckets that hold the same nodes count once. Within a bucket every pair is compared exactly, in
-   blocks: the shingles that two or more of the nodes have become columns, and a product of the
-   membership matrix with its transpose gives all intersections, so the Jaccard similarity of the
-   shingle sets is exact. What leaves the task is a spanning forest of the links found, at most one
-   edge a node: no link between different texts is lost for the classes, and pairs aren't
-   written out. Nodes of a large bucket are dealt into blocks of about `BLOCK`, and a task holds two.
+3. Buckets that hold the same nodes count once. First, each bucket's nodes are compared with its least
+   node alone, which costs one comparison a node, and the links found are joined to components: in a
+   family of copies that settles nearly all. Only buckets that still hold several components are
+   compared whole, in blocks: the shingles that two or more of a block's nodes have become columns, and
+   a product of the membership matrix with its transpose gives all intersections. Either way the
+   Jaccard similarity of the shingle sets is counted out, by 40 bits of each shingle's hash. What leaves
+   a task is a spanning forest of the links found, at most one edge a node: no link between different
+   texts is lost for the classes, and pairs aren't written out. Nodes of a large bucket are dealt into
+   blocks of about `BLOCK`, and a task holds one with the least node, or two.
 4. Classes are the connected components of those links; equal texts follow their node.
 
-The texts of the nodes in buckets are read in a second scan. Bitmaps of fixed size (2**26 bits), built
-from the buckets' bands and those nodes' keys and sent to all executors, drop nearly all other rows
-before they are shuffled.
-
-Defined cases: a null text and one without words is alone in its class; rows with the same doc_id and
-text are one document; a class's id is its least doc_id; an empty table gives an empty result; other
-columns are kept by `deduplicate` and not read by `classes`.
+The texts of the nodes in buckets are read in a second scan. Bitmaps built from the buckets' bands and
+those nodes' keys drop nearly all other rows before they are shuffled; they have 16 bits a wanted row, from
+2**26 bits up to 2**30 (128 MB), which are sent to all executors. Past some 10**8 wanted rows more rows
+than wanted pass, and are shuffled. Joins on a text's digest or a class meet hot keys (copies of one text)
+and rely on Spark's splitting of skewed partitions; texts without words have no key and are kept out.
+
+`deduplicate` numbers the rows in a table of its own, and rows that go are dropped where they lie, by an exact
+bitmap of row numbers (1 bit a row; past `EXACT` rows by a join).
+
+Defined cases: a null text and one without words is alone in its class, and `deduplicate` keeps all of
+those; a class's id is its least doc_id, null if all are null; rows with one doc_id and different texts
+are classed by their texts, each on its own; of a class `deduplicate` keeps one row, always: that of the
+least doc_id (rows without one come last), the first of them if there are several; texts of any length are
+read whole; an empty table gives an empty result; other columns are kept by `deduplicate`, whatever their
+names, and not read by `classes`.
 """
 
 from __future__ import annotations
@@ -34,8 +45,11 @@ from .components import components
 from .shingles import SIZE, mix, shingles, signature
 
 SIMILARITY, BANDS, ROWS = 0.8, 28, 6
-BLOCK = 512
-BITS, PAGE = 1 << 26, 1 << 15
+BLOCK = 256
+#: Bits of a bitmap at least and at most, and bits of one of its pages.
+LEAST_BITS, MOST_BITS, PAGE = 1 << 26, 1 << 30, 1 << 15
+#: Rows whose numbers an exact bitmap may tell (128 MB).
+EXACT = 1 << 30
 
 
 def _key(text: Column) -> Column:
@@ -44,6 +58,8 @@ def _key(text: Column) -> Column:
 
 
 def _sign(size: int, bands: int, rows: int):
+    """row, raw, key, doc_id -> row, key, bands, doc_id."""
+
     def run(batches):
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         odd = mix(np.arange(1000, 1000 + rows, dtype=np.uint64)) | np.uint64(1)
@@ -57,7 +73,7 @@ def _sign(size: int, bands: int, rows: int):
                 won = mix(signature(hashes, np.ones(len(hashes)), bands * rows)).reshape(bands, rows)
                 signed.append(mix((won * odd).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"]
+                [batch.column(0), batch.column(2), pa.array(signed, pa.list_(pa.int64())), batch.column(3)], names=["row", "key", "bands", "doc_id"]
             )
         scratch.trim()
 
@@ -165,35 +181,73 @@ def _link(least: float):
     return run
 
 
+def _verify(least: float):
+    """Rows come sorted by (rep, blocks, slot), the rep itself first: links of the others with it."""
+
+    def run(batches):
+        key, rep, held = None, None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            reps, blocks, slots, nodes = (batch.column(k).to_pylist() for k in range(4))
+            for r, b, slot, node, raw in zip(reps, blocks, slots, nodes, batch.column(4)):
+                own = _restored(raw.as_py())
+                if (r, b, slot) != key:
+                    key, rep, held = (r, b, slot), r, own
+                    if node != r:
+                        raise ValueError("a block without its least node")
+                    continue
+                small, large = (own, held) if len(own) < len(held) else (held, own)
+                if len(small) < least * len(large):
+                    continue
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                if both >= least * (len(own) + len(held) - both):
+                    out.append((rep, node))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        scratch.trim()
+
+    return run
+
+
+def _on(bits: Column, place: Column) -> Column:
+    """Whether a page's bit is set."""
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", byte, (place % 8).cast("int"))) == 1
+
+
+def _pages(spots: DataFrame) -> DataFrame:
+    """spots: a column s. Pages of a bitmap: (_page, _bits)."""
+    at = spots.select(F.floor(F.col("s") / PAGE).cast("long").alias("_page"), F.pmod("s", F.lit(PAGE)).alias("p"))
+    return F.broadcast(at.groupBy("_page").agg(F.expr("bitmap_construct_agg(p)").alias("_bits")))
+
+
 def _among(rows: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
-    """Rows whose hash is that of a wanted row, and few others; the bitmap has BITS bits at any input."""
-    spot = lambda h: F.pmod(h, F.lit(BITS))
-    pages = wanted.select(spot(wanted_hash).alias("s")).select((F.col("s") / PAGE).cast("int").alias("_page"), (F.col("s") % PAGE).alias("p"))
-    pages = pages.groupBy("_page").agg(F.expr("bitmap_construct_agg(p)").alias("_bits"))
-    at = rows.withColumn("_spot", spot(hashed)).withColumn("_page", (F.col("_spot") / PAGE).cast("int"))
-    place = F.col("_spot") % PAGE
-    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    on = F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", byte, (place % 8).cast("int"))) == 1
-    return at.join(F.broadcast(pages), "_page").filter(on).drop("_page", "_bits", "_spot")
+    """Rows whose hash is that of a wanted row, and few others."""
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    spot = lambda h: F.pmod(h, F.lit(bits).cast("long"))
+    at = rows.withColumn("_spot", spot(hashed)).withColumn("_page", F.floor(F.col("_spot") / PAGE).cast("long"))
+    found = at.join(_pages(wanted.select(spot(wanted_hash).alias("s"))), "_page").filter(_on(F.col("_bits"), F.col("_spot") % PAGE))
+    return found.drop("_page", "_bits", "_spot")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (the text's digest) and class_id, one row a document."""
-    spark = docs.sparkSession
-    scratch.workers_import(spark)
-    texts = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), _key(F.col("text")).alias("key"))
-    signed = texts.mapInArrow(_sign(size, bands, rows), "doc_id long, key binary, bands array<long>")
-    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+def _classed(texts: DataFrame, least: float, size: int, bands: int, rows: int) -> DataFrame:
+    """texts: row, doc_id, raw, key. Gives row, doc_id, key and, for texts with words, class_id and stays (the
+    row that stands for the class)."""
+    signed = texts.select("row", "raw", "key", "doc_id").mapInArrow(_sign(size, bands, rows), "row long, key binary, bands array<long>, doc_id long")
+    signed = scratch.table(signed, "signatures")
+    worded = signed.filter("key IS NOT NULL")
 
     # One node for each distinct text. max_by would hold an array; the least row stands for all.
-    distinct = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    distinct = worded.groupBy("key").agg(F.min("row").alias("node"), F.min(first).alias("first"))
     distinct = scratch.table(distinct, "texts")
-    banded = signed.select("row", "bands").join(distinct.select("node"), F.col("row") == F.col("node"), "left_semi")
+    banded = worded.select("row", "bands").join(distinct.select("node"), F.col("row") == F.col("node"), "left_semi")
     banded = scratch.table(banded.select(F.col("row").alias("node"), F.explode("bands").alias("band")), "bands")
 
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("s"), F.min("node").alias("m"))
-    buckets = buckets.filter("n > 1").groupBy("n", "s", "m").agg(F.min("band").alias("band"))
-    buckets = scratch.table(buckets.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 12)).alias("s"), F.min("node").alias("rep"))
+    buckets = buckets.filter("n > 1").groupBy("n", "s", "rep").agg(F.min("band").alias("band"))
+    buckets = scratch.table(buckets.select("band", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
     shared = _among(banded, F.xxhash64("band"), buckets, F.xxhash64("band"))  # most bands have one node
     members = scratch.table(shared.join(buckets, "band"), "members")
     scratch.discard(banded)
@@ -202,40 +256,76 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
     nodes = members.select("node").distinct().join(signed.select("row", "doc_id", "key"), F.col("node") == F.col("row"))
     nodes = scratch.table(nodes.select("node", "doc_id", "key"), "nodes")
     known = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "key")
-    near = _among(texts.filter("key IS NOT NULL"), known, nodes, known)
+    near = _among(texts.select("doc_id", "raw", "key").filter("key IS NOT NULL"), known, nodes, known)
     asked = nodes.select("node", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     found = near.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "raw")
     sets = scratch.table(found.mapInArrow(_shingled(size), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", other)
-    dealt = dealt.select("band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = dealt.join(sets, "node").select("band", "i", "j", "node", "shingles")
-    met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    edges = scratch.table(met.mapInArrow(_link(least), "a long, b long"), "links")
+    # Each node against the least of its buckets, in slots of a large bucket.
+    slot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = members.filter("node <> rep").groupBy("rep", "node").agg(F.max("blocks").alias("blocks")).select("rep", "blocks", slot.alias("slot"), "node")
+    reps = members.select("rep", "blocks").distinct()
+    reps = reps.select("rep", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot"), F.col("rep").alias("node"))
+    met = pairs.unionByName(reps).join(sets, "node").select("rep", "blocks", "slot", "node", "shingles")
+    met = met.repartition("rep", "blocks", "slot").sortWithinPartitions("rep", "blocks", "slot", F.col("node") != F.col("rep"))
+    edges = scratch.table(met.mapInArrow(_verify(least), "a long, b long"), "links")
+    roots = scratch.table(components(edges), "roots")
+
+    # Buckets whose nodes are not all of one component yet are compared whole.
+    root = F.coalesce("root", "node")
+    of = members.join(roots, "node", "left").select("band", "node", "blocks", root.alias("root"))
+    apart = of.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    apart = scratch.table(apart, "apart")
+    if not apart.isEmpty():
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = members.join(apart, "band", "left_semi").withColumn("own", slot).withColumn("other", other)
+        dealt = dealt.select("band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        met = dealt.join(sets, "node").select("band", "i", "j", "node", "shingles")
+        met = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+        more = scratch.table(met.mapInArrow(_link(least), "a long, b long"), "links")
+        # A component found already is a star of its root's edges.
+        roots = scratch.table(components(more.union(roots.select("root", "node"))), "roots")
     scratch.discard(sets)
     scratch.discard(members)
 
-    roots = components(edges)
-    linked = roots.join(distinct.select("node", "first_id"), "node")
-    named = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    linked = linked.select("node", "root").join(named, "root").select("node", "class_id")
-    class_of = distinct.join(linked, "node", "left").select("key", F.coalesce("class_id", "first_id").alias("class_id"))
+    linked = roots.join(distinct.select("node", "first"), "node")
+    named = linked.groupBy("root").agg(F.min("first").alias("of"))
+    linked = linked.select("node", "root").join(named, "root").select("node", "of")
+    of = F.coalesce("of", "first")
+    class_of = distinct.join(linked, "node", "left").select("key", of["doc_id"].alias("class_id"), of["row"].alias("stays"))
     class_of = scratch.table(class_of, "classes")
-    out = signed.select("doc_id", "key").join(class_of, "key", "left")
-    return out.select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
+    plain = signed.filter("key IS NULL").select("row", "doc_id", "key", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("stays"))
+    return worded.select("row", "doc_id", "key").join(class_of, "key").select("row", "doc_id", "key", "class_id", "stays").unionByName(plain)
+
+
+def _texts(rows: DataFrame, row: Column) -> DataFrame:
+    return rows.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), _key(F.col("text")).alias("key"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, key (the text's digest) and class_id, one row a document."""
+    scratch.workers_import(docs.sparkSession)
+    # Only the first scan's row numbers are used: they are written with the signatures.
+    texts = _texts(scratch.only(docs, "doc_id", "text"), F.monotonically_increasing_id())
+    found = _classed(texts, least, size, bands, rows)
+    return found.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents with one of each class: that of the least doc_id. Texts without words all stay."""
-    found = classes(docs, least)
-    gone = found.filter("doc_id <> class_id AND key IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
+    """The documents with one row of each class. Texts without words all stay."""
+    scratch.workers_import(docs.sparkSession)
     rows, back = scratch.beside(docs, "doc_id", "text")
-    rows = rows.withColumn("_key", _key(F.col("text")))
-    alone = rows.filter("_key IS NULL").select(*back)
-    rows = rows.filter("_key IS NOT NULL")
-    stay = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti")
-    return stay.dropDuplicates(["doc_id", "_key"]).select(*back).union(alone)
+    whole = [f"c{i}" for i in range(len(back))]
+    rows = scratch.table(rows.select(*whole, F.monotonically_increasing_id().alias("_row")), "rows")
+    at = {n: f"c{docs.columns.index(n)}" for n in ("doc_id", "text")}
+    found = _classed(_texts(rows.select("_row", *(F.col(c).alias(n) for n, c in at.items())), F.col("_row")), least, SIZE, BANDS, ROWS)
+    gone = scratch.table(found.filter("key IS NOT NULL AND row <> stays").select("row"), "gone")
+    if gone.count() > EXACT:
+        return rows.join(gone, F.col("_row") == F.col("row"), "left_anti").select(*back)
+    # Numbers are dense within a partition, so pages are full.
+    paged = rows.withColumn("_page", F.floor(F.col("_row") / PAGE).cast("long"))
+    stay = paged.join(_pages(gone.select(F.col("row").alias("s"))), "_page", "left")
+    return stay.filter(F.col("_bits").isNull() | ~_on(F.col("_bits"), F.col("_row") % PAGE)).select(*back)
 
 
 def sql(documents: str = "documents", least: float = SIMILARITY, size: int = SIZE) -> str:
