@@ -334,49 +334,107 @@ def test_mixing_to_given_targets(spark, monkeypatch):
     assert few.sort_values("doc_id").chance.round(5).tolist() == many.sort_values("doc_id").chance.round(5).tolist()
 
 
-def test_toxicity_learns_and_tolerates_gaps(spark):
+def toxic_rows(seed=1000, n=400):
     from tests.llm.cases import prose
 
     rows, labels = [], []
-    for i in range(400):
+    for i in range(n):
         bad = i % 3 == 0
-        t = prose(1000 + i, 60).split()
+        t = prose(seed + i, 60).split()
         if bad:
             t[30] = ["blarghole", "snivelrot", "zounderk"][i // 3 % 3]
         rows.append((i, " ".join(t)))
         labels.append((i, 1, int(bad)))
-    rows += [(1001, "a house blarg-hole river"), (1002, "b l a r g h o l e"), (1003, "quiet green river"), (1004, None), (1005, "")]
+    return rows, labels
+
+
+def test_toxicity_learns_and_tolerates_gaps(spark):
+    rows, labels = toxic_rows()
+    rows += [(1001, "a house blarg-hole river"), (1002, "b l a r g h o l e"), (1003, "quiet green river"), (1004, None), (1005, ""), (1006, "walk blarg hole over"), (1007, "sing blar gxhole by")]
+    rows += [(1008, "the stone wind " * 30_000 + "blarghole " + "open close " * 30_000), (1009, "the stone wind. " * 30_000), (1010, "!!! ... \n\n ---"), (None, "snivelrot")]
     marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(frame(spark, rows), marked).collect()}
     held = [(got[i].score, i % 3 == 0) for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
-    assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.97
-    assert got[1001].predicted == got[1002].predicted == 1 and got[1003].predicted == 0 and got[1004].score == got[1005].score < 0.5
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400)) and got[None].held_out
+    ranked = np.array([y for _, y in sorted(held, key=lambda x: -x[0])])
+    precision = (ranked * np.cumsum(ranked) / np.arange(1, len(ranked) + 1)).sum() / ranked.sum()
+    assert precision > 0.98 and np.mean([(s >= 0.5) == y for s, y in held]) > 0.97
+    for i, want in ((1001, 1), (1002, 1), (1003, 0), (1006, 1), (1007, 1), (1008, 1), (1009, 0), (None, 1)):
+        assert got[i].predicted == want, i
+    assert got[1004].score == got[1005].score == got[1010].score < 0.5
     none = toxicity.score(frame(spark), marked.filter("doc_id < 0")).collect()
     assert len(none) == len(texts()) and {r.score for r in none} == {0.0}
     assert toxicity.score(frame(spark, []), marked).count() == 0
 
 
-def test_toxicity_table_equals_the_kernel():
-    """Folding the landmarks into one table gives the decision by kernel values."""
-    words = [toxicity.words_of(w.encode())[0] for w in ("idiot", "house", "idxiot", "river")]
-    marks = np.stack([toxicity.features(w) for w in words])
-
-    def kernel(a, b):
-        def parts(w):
-            out = collections.Counter()
-            for i in range(len(w)):
-                for j in range(i + 1, len(w)):
-                    for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
-                        out[(w[i], w[j], w[k])] += toxicity.DECAY ** (k - i + 1)
-            return out
-
-        x, y = parts(a), parts(b)
-        n = [toxicity.norms(np.array([len(w)]))[0] for w in (a, b)]
-        return sum(v * y[t] for t, v in x.items()) / n[0] / n[1]
-
-    plain = np.array([[kernel(a, b) for b in words] for a in words])
-    assert np.allclose(plain, marks @ marks.T)
-    weight = np.array([1.0, -0.5, 0.25, 2.0])
-    scores, _, _ = toxicity.word_scores(b"idiot, river", (marks.T @ weight).astype(np.float32))
-    assert np.allclose(scores, [plain[0] @ weight, plain[3] @ weight], atol=1e-5)
+def brute_pieces(text):
+    """Sentences cut into pieces, as words of folded letters, in plain Python."""
+    out = []
+    for sentence in re.split(r"[.!?](?=[\t-\r ]|$)|\n", text):
+        words = ["".join(chr(96 + c) if 0 < c < 27 else chr(200 + c) for c in (int(toxicity.FOLD[x]) for x in w.encode()) if c != 255) for w in sentence.split()]
+        words = [w for w in words if w]
+        joined = []
+        for k, w in enumerate(words):
+            if k and len(w) == 1 and len(words[k - 1]) == 1:
+                joined[-1] += w
+            else:
+                joined.append(w)
+        if joined:
+            count = max(1, -(-(len(joined) - toxicity.PIECE) // toxicity.STEP) + 1)
+            out += [joined[toxicity.STEP * i : toxicity.STEP * i + toxicity.PIECE] for i in range(count)]
+    return out
+
+
+def brute_features(piece):
+    """Weights of the triples of one instance, by walking over all of them."""
+    s, out = " " + " ".join(piece) + " ", collections.Counter()
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                ends = s[i] == " " or s[k] == " "
+                if s[j] != " " and not (ends and " " in s[i + 1 : k]):
+                    out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+    length = math.sqrt(sum(v * v for v in out.values()))
+    return {t: v / length for t, v in out.items()}
+
+
+def test_toxicity_features_and_highest_sentence():
+    samples = ["You id-iot, m0 ron! i d i o t x. A b\nwords of one. two", "aaaa aaaa aaaa aaaa aaaa. b", "é à ü 🙂 éé x", "One. two three four five six seven eight nine", "..!? a", "no stop at all " * 9]
+    table = np.random.RandomState(5).randn(toxicity.LETTERS**3).astype(np.float32)
+    code = lambda c: 0 if c == " " else ord(c) - 96 if ord(c) < 200 else ord(c) - 200
+    for t in samples:
+        text = toxicity.Letters(t.encode())
+        want = brute_pieces(t)
+        assert [[bytes(code(c) for c in w) for w in p] for p in want] == [[text.word(k) for k in range(a, b)] for a, b in zip(text.low, text.high)]
+        decisions = []
+        for i, p in enumerate(want):
+            index, weight = toxicity.features(text.codes[text.starts[i] : text.ends[i]])
+            brute = {code(x[0]) * 3600 + code(x[1]) * 60 + code(x[2]): v for x, v in brute_features(p).items()}
+            assert index.tolist() == sorted(brute) and np.allclose(weight, [brute[x] for x in sorted(brute)])
+            decisions.append(sum(v * float(table[x]) for x, v in brute.items()))
+        best, at = toxicity.highest(text, table)
+        assert abs(best - max(decisions)) < 1e-5 and abs(decisions[at] - best) < 1e-5
+
+
+def test_toxicity_machine_equals_one_in_kernel_values():
+    """With every instance a landmark, the machine is the support vector machine of the whole kernel matrix."""
+    words = "you id iot moron fool the house green river stone wind talk sing".split()
+    pick = np.random.RandomState(2)
+    pieces = [" ".join(words[k] for k in pick.randint(0, len(words), 3)) for _ in range(40)]
+    y = np.array([1.0 if "moron" in p or "fool" in p else -1.0 for p in pieces])
+    found = [brute_features(p.split()) for p in pieces]
+    kernel = np.array([[sum(v * b.get(t, 0.0) for t, v in a.items()) for b in found] for a in found])
+    instances = [toxicity.features(t.codes) for t in (toxicity.Letters(p.encode()) for p in pieces)]
+    basis = toxicity.Basis(instances)
+    x = basis.project(instances)
+    assert np.allclose(x @ x.T, kernel, atol=1e-6)
+    weight, bias = toxicity.squared_hinge(x[y > 0], x[y < 0])
+    # The same problem over coefficients of the instances, f = K a + b, by plain gradient steps on its optimum:
+    # at the optimum a_i = 2 c_i y_i max(0, 1 - y_i f_i), and the sum of a is that of the constant's small rule.
+    f = x @ weight + bias
+    c = toxicity.COST * len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+    a = 2 * c * y * np.maximum(0, 1 - y * f)
+    assert np.allclose(kernel @ a + bias, f, atol=1e-4) and abs(a.sum() - 1e-6 * bias) < 1e-4
+    table = basis.table(weight)
+    for p, want in zip(pieces, f):
+        assert abs(toxicity.highest(toxicity.Letters(p.encode()), table)[0] + bias - want) < 1e-3
