@@ -102,7 +102,7 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, []), registry.tokenizer("byte_bpe_50k.json")).count() == 0
 
 
-def test_token_blocks_round_trip(spark, tmp_path):
+def test_token_blocks_round_trip(spark, tmp_path, monkeypatch):
     tokenio.write(frame(spark), str(tmp_path / "shards"), registry.tokenizer("word_bpe_49k.json"), 1)
     got = by_row(tokenio.read(spark, str(tmp_path / "shards")), "start", "doc_id", "n_tokens", "ids_crc32")
     want, at = [], 0
@@ -111,6 +111,15 @@ def test_token_blocks_round_trip(spark, tmp_path):
         want.append((str(at), str(i), str(len(ids)), str(zlib.crc32(ids.tobytes()))))
         at += len(ids)
     assert got == sorted(want)
+    files = sorted((tmp_path / "shards" / "shards").iterdir())
+    assert len(files) == tokenio.manifest(spark, str(tmp_path / "shards")).count() and all(f.name.startswith("p") for f in files)
+    monkeypatch.setattr(tokenio, "mounted", lambda path: None)  # a store that only Spark reaches
+    tokenio.write(frame(spark), str(tmp_path / "store"), registry.tokenizer("word_bpe_49k.json"), 1)
+    assert by_row(tokenio.read(spark, str(tmp_path / "store")), "start", "doc_id", "n_tokens", "ids_crc32") == got
+    monkeypatch.undo()
+    files[0].unlink()
+    with pytest.raises(ValueError, match="other files"):
+        tokenio.read(spark, str(tmp_path / "shards"))
     tokenio.write(frame(spark, []), str(tmp_path / "none"), registry.tokenizer("word_bpe_49k.json"), 1)
     assert tokenio.read(spark, str(tmp_path / "none")).count() == 0
 
@@ -125,6 +134,41 @@ def test_blocks_round_trip(n):
         assert len(tokenio.shard_bytes([5], [n], ids)) < 2.2 * n + 2000
 
 
+def test_one_document_is_read_by_seeking():
+    import io
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, *args):
+            out = super().read(*args)
+            self.taken += len(out)
+            return out
+
+    pick = np.random.RandomState(1)
+    counts = pick.randint(0, 900, 3000).tolist() + [0, 12_288, 1]
+    ids = pick.randint(0, 49_000, sum(counts)).astype(np.uint32)
+    whole = tokenio.shard_bytes(list(range(len(counts))), counts, ids)
+    starts = np.cumsum(counts) - counts
+    for i in [0, 1, 17, 1500, 2999, 3000, 3001, 3002]:
+        f = Counting(whole)
+        assert (tokenio.document(f, i) == ids[starts[i] : starts[i] + counts[i]]).all()
+        assert f.taken < 0.08 * len(whole)
+    with pytest.raises(IndexError):
+        tokenio.document(io.BytesIO(whole), len(counts))
+    with pytest.raises(ValueError):
+        tokenio.document(io.BytesIO(b"x" * 100), 0)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_librarys_on_random_strings(name):
+    encoder, pick = Encoder(registry.tokenizer(name)), np.random.RandomState(0)
+    letters = list("abCDé ñüß0179'sred_-.,!?()[]{}@#$%&*+=<>/|~`\"\\^:;\t\n\r") + ["  ", "'ll", "'RE", "ſ", "İ", "²", "🙂", "the", " of", "\u00a0", "\u2028", "\x85", "ﬁ", "e\u0301", "中"]
+    for _ in range(4000):
+        t = "".join(letters[k] for k in pick.randint(0, len(letters), pick.randint(0, 25)))
+        assert encoder.encode(t) == encoder.whole(t), t
+
+
 def test_licenses_base(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     extra = [(20, "This is GNU General Public License, version 3 and GPL cc  by/CC-BY"), (21, "All rights reserved all rights reserved")]

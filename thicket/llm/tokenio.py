@@ -14,18 +14,27 @@ to about `SHARD` ids of whole documents and stands alone; its layout, all little
         u16 each exception's place, u32 each exception's id less the minimum
 
 The width is the least in which a share `FITS` of the block's ids fits, so that a few large ids
-don't widen all others. Spark commits shards as rows of a Parquet table (its writers are safe when
-executors are lost and reach any store); `payload` is the shard, and `write_files` puts shards into
-files of their own.
+don't widen all others. `document` reads one document by seeking: the index, and the blocks that
+hold its ids.
+
+Each shard is a file `p<task>-<ids before it in the task>.pfr` in the folder's `shards`, which the executors
+write themselves where the folder is one that all machines mount (no scheme, or file:). A file gets its name when
+it is whole, and a retry writes the same bytes under the same name, so lost executors leave nothing half done.
+Where only Spark's writers reach the folder (any other scheme), the same bytes are kept in the manifest's
+column `payload`. The manifest, a Parquet table, has one row a shard, and reading checks the files against it.
 
 Defined cases: a null or empty text is the end id alone; an empty table gives no shards; rows with
-the same doc_id stand in the order of their texts; null ids come first; other columns are not read.
+the same doc_id stand in the order of their texts; null ids come first; texts of any length are read
+whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,7 @@ from .tokens import encoder
 
 BLOCK, LANES, SHARD, FITS = 4096, 64, 1 << 20, 0.9
 MAGIC = b"PFR2"
-SHARDS = "part int, at long, n_docs int, n_ids int, payload binary"
+SHARDS = "part int, at long, n_docs int, n_ids int, name string, payload binary"
 READ = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
@@ -139,7 +148,47 @@ def read_shard(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [None if gone else d for d, gone in zip(doc_ids, absent)], counts, unpack_blocks(raw[at:], starts, n_ids)
 
 
-def _write(path: str, end: int):
+def document(f, number: int) -> np.ndarray:
+    """The ids of a shard's document, by its place in the shard; f: a file open for reading that can seek."""
+    f.seek(0)
+    head = f.read(16)
+    if head[:4] != MAGIC:
+        raise ValueError("not a shard of this format")
+    docs, n_ids, blocks = struct.unpack_from("<III", head, 4)
+    if not 0 <= number < docs:
+        raise IndexError(f"the shard has {docs} documents")
+    f.seek(16 + 9 * docs)
+    counts = np.frombuffer(f.read(4 * (number + 1)), "<u4").astype(np.int64)
+    start, n = int(counts[:-1].sum()), int(counts[-1])
+    if not n:
+        return np.zeros(0, dtype=np.uint32)
+    first, last = start // BLOCK, (start + n - 1) // BLOCK
+    index = 16 + 13 * docs
+    f.seek(index + 8 * first)
+    more = last + 1 < blocks
+    starts = np.frombuffer(f.read(8 * (last - first + 1 + more)), "<u8").astype(np.int64)
+    f.seek(index + 8 * blocks + int(starts[0]))
+    raw = f.read(int(starts[-1] - starts[0])) if more else f.read()
+    held = starts[: last - first + 1] - starts[0]
+    ids = unpack_blocks(memoryview(raw), held, len(held) * BLOCK)
+    return ids[start - first * BLOCK : start - first * BLOCK + n]
+
+
+def mounted(path: str) -> str | None:
+    """The folder as all machines see it in their file systems, or None where only Spark reaches it."""
+    at = urlparse(path)
+    return unquote(at.path) if at.scheme in ("", "file") else None
+
+
+def _put(folder: str, name: str, payload: bytes) -> None:
+    os.makedirs(folder, exist_ok=True)
+    unfinished = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+    with open(unfinished, "wb") as f:
+        f.write(payload)
+    os.replace(unfinished, os.path.join(folder, name))
+
+
+def _write(path: str, end: int, folder: str | None):
     close = np.array([end], dtype="<u2").tobytes()
 
     def run(batches):
@@ -152,8 +201,11 @@ def _write(path: str, end: int):
 
         def shard():
             ids = np.frombuffer(b"".join(parts), dtype="<u2").astype(np.uint32)
-            row = [[part], [at], [len(docs)], [len(ids)], [shard_bytes(docs, [len(p) // 2 for p in parts], ids)]]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            payload, name = shard_bytes(docs, [len(p) // 2 for p in parts], ids), f"p{part:06d}-{at:015d}.pfr"
+            if folder is not None:
+                _put(folder, name, payload)
+            row = [[part], [at], [len(docs)], [len(ids)], [name], [payload if folder is None else None]]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
@@ -188,38 +240,45 @@ def _read(batches):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Writes the documents' shards to a folder that Spark reaches, in ascending doc_id order."""
+    """Writes the documents' shards, in ascending doc_id order, and their manifest to a shared folder."""
     scratch.workers_import(docs.sparkSession)
     rows = scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(_write(tokenizer, end_id), SHARDS).write.parquet(path)
+    # Many equal rows must not meet in one task: their order doesn't matter, so the last key may part them.
+    keyed = rows.withColumns({"_hash": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "_hash", "_n").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
+    at, folder = path.rstrip("/"), mounted(path)
+    made = ordered.mapInArrow(_write(tokenizer, end_id, None if folder is None else os.path.join(folder, "shards")), SHARDS)
+    made.write.parquet(f"{at}/manifest")
+
+
+def manifest(spark, path: str) -> DataFrame:
+    return spark.read.schema(SHARDS).parquet(f"{path.rstrip('/')}/manifest")
+
+
+def shards(spark, path: str) -> DataFrame:
+    """part, at and payload of each shard, from the files."""
+    listed = manifest(spark, path)
+    if mounted(path) is None:
+        return listed.select("part", "at", "payload")
+    n = listed.count()
+    if not n:
+        return listed.select("part", "at", "payload")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "p*.pfr").load(f"{path.rstrip('/')}/shards")
+    if files.select("path").count() != n:
+        raise ValueError(f"{path} has other files than its manifest")
+    name = F.regexp_extract("path", r"p(\d+)-(\d+)\.pfr$", 1), F.regexp_extract("path", r"p(\d+)-(\d+)\.pfr$", 2)
+    return files.select(name[0].cast("int").alias("part"), name[1].cast("long").alias("at"), F.col("content").alias("payload"))
 
 
 def read(spark, path: str) -> DataFrame:
     """Per document, from the shards: doc_id, start, n_tokens and ids_crc32 of all its ids."""
     scratch.workers_import(spark)
-    shards = spark.read.schema(SHARDS).parquet(path)
     # One total for each task that wrote; the shards know their place within their task.
-    totals = sorted(shards.groupBy("part").agg(F.sum(F.col("n_ids").cast("long")).alias("n")).collect())
+    totals = sorted(manifest(spark, path).groupBy("part").agg(F.sum(F.col("n_ids").cast("long")).alias("n")).collect())
     bases, at = [], 0
     for part, n in totals:
         bases.append((part, at))
         at += n
     base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
-    found = shards.select("part", "at", "payload").mapInArrow(_read, READ).join(base, "part")
+    found = shards(spark, path).mapInArrow(_read, READ).join(base, "part")
     return found.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def write_files(shards: DataFrame, folder: str) -> None:
-    """Each shard as a file in a folder mounted on all executors; a retry writes the same bytes again."""
-
-    def put(row):
-        import os
-
-        at = os.path.join(folder, f"{row.part:06d}-{row.at:015d}.pfr")
-        with open(at + ".tmp", "wb") as f:
-            f.write(row.payload)
-        os.replace(at + ".tmp", at)
-
-    shards.foreach(put)
