@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .components import components
+from .components import components, meet
 from .shingles import SIZE, mix, shingles, signature
 
 SIMILARITY, BANDS, ROWS = 0.8, 28, 6
@@ -290,7 +290,7 @@ def _classed(texts: DataFrame, least: float, size: int, bands: int, rows: int) -
 
     linked = roots.join(distinct.select("node", "first"), "node")
     named = linked.groupBy("root").agg(F.min("first").alias("of"))
-    linked = linked.select("node", "root").join(named, "root").select("node", "of")
+    linked = meet(linked.select("node", "root"), named, "root", "node").select("node", "of")
     of = F.coalesce("of", "first")
     class_of = distinct.join(linked, "node", "left").select("key", of["doc_id"].alias("class_id"), of["row"].alias("stays"))
     class_of = scratch.table(class_of, "classes")
