@@ -479,3 +479,63 @@ def test_plans(spark, sf_dir):
     top = report(e.query(Query("orders").order_by("o_totalprice").limit(5)))
     assert "TakeOrderedAndProject" in top["text"] and top["exchanges"] == 0
     assert report(knn.knn(e.collection("embeddings"), "embedding", [0.1] * 64, 3))["python"] == 0
+
+
+def test_walks_in_the_order_of_discovery(spark):
+    edges = spark.createDataFrame([("S", "P"), ("S", "Q"), ("P", "z"), ("Q", "a"), ("z", "gone"), ("gone", "y")], "src string, dst string")
+    there = spark.createDataFrame([(n,) for n in "SPQzay"], "node string")
+    assert [r.node for r in graph.bfs(edges, "S", "out", 3, 3).collect()] == ["P", "Q", "z"]
+    full = graph.bfs(edges, "S", "out", 4, None, include_path=True, existing=there).collect()
+    assert [(r.node, r.depth) for r in full] == [("P", 1), ("Q", 1), ("z", 2), ("a", 2), ("y", 4)]
+    assert full[-1].path == ["S", "P", "z", "gone", "y"]
+    assert graph.bfs(edges, "nobody", "out", 3, existing=there).count() == 0
+    assert graph.bfs(edges, "gone", "out", 3, existing=there).count() == 0
+    assert graph.dijkstra(edges, "gone", "out", 3, existing=there).count() == 0
+
+
+def test_weighted_walks_under_a_depth_cap(spark):
+    rows = [("A", "X", "ax", 10.0), ("A", "b", "ab", 1.0), ("b", "c", "bc", 1.0), ("c", "X", "cx", 1.0), ("X", "t", "xt", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge string, weight double")
+    capped = graph.dijkstra(edges, "A", "out", 2, include_path=True).collect()
+    assert [(r.node, r.cost, r.depth) for r in capped] == [("b", 1.0, 1), ("c", 2.0, 2), ("X", 10.0, 1), ("t", 11.0, 2)]
+    free = {r.node: r for r in graph.dijkstra(edges, "A", include_path=True).collect()}
+    assert (free["X"].cost, free["X"].path, free["X"].via) == (3.0, ["A", "b", "c", "X"], ["ab", "bc", "cx"])
+    assert [r.via for r in graph.simple_paths(edges, "A", "out", 1).collect()] == [[], ["ab"], ["ax"]]
+
+    import heapq
+    import random
+
+    pick = random.Random(3)
+    some = [(f"n{pick.randrange(25)}", f"n{pick.randrange(25)}", f"e{i}", float(pick.randrange(1, 9))) for i in range(70)]
+    hops = {}
+    for a, b, _, w in some:
+        if a != b:
+            hops[(a, b)] = min(w, hops.get((a, b), w))
+    for cap in (1, 2, 3, 5):
+        cost, heap, want = {"n0": 0.0}, [(0.0, "n0", 0)], {}
+        while heap:
+            c, at, depth = heapq.heappop(heap)
+            if at in want or c > cost[at]:
+                continue
+            want[at] = (c, depth)
+            if depth < cap:
+                for (a, b), w in hops.items():
+                    if a == at and b not in want and c + w < cost.get(b, 1e9):
+                        cost[b] = c + w
+                        heapq.heappush(heap, (c + w, b, depth + 1))
+        got = {r.node: (r.cost, r.depth) for r in graph.dijkstra(spark.createDataFrame(some, "src string, dst string, edge string, weight double"), "n0", "out", cap).collect()}
+        assert got == {k: v for k, v in want.items() if k != "n0"}
+
+
+def test_engine_terminals_and_walking_queries(spark):
+    engine = Engine(spark).register("p", spark.createDataFrame([(str(i), 0, i, i % 3) for i in range(9)], "id string, _time long, n long, g int"))
+    q = Query("p").where("g", "eq", 1)
+    assert (engine.count(q), engine.sum(q, "n"), engine.avg(q, "n"), engine.min(q, "n"), engine.max(q, "n")) == (3, 12.0, 4.0, 1.0, 7.0)
+    assert engine.first(q.order_by("n", False)).n == 7 and engine.first(Query("p").where("n", "gt", 99)) is None
+    assert engine.delete(q).count() == 6 and engine.patch(q, {"n": 0}).filter("n = 0").count() == 4
+    walk = Query("p").where_traverse("p", "1", "out", 2)
+    with pytest.raises(ValueError, match="edge table"):
+        engine.query(walk)
+    engine.link(spark.createDataFrame([("p/1", "p/2"), ("p/2", "p/5"), ("p/2", "p/77"), ("p/5", "p/8")], "src string, dst string"))
+    assert [r.id for r in engine.query(walk).collect()] == ["2", "5"]
+    assert engine.count(walk) == 2 and engine.query(Query("p").where_traverse("p", "77", "in", 2)).count() == 0

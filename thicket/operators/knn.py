@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text, vectors
 from ..functions.predicates import condition
+from . import aggregate
 from .query import Query, matching, page
 
 
@@ -45,6 +47,8 @@ def run_near(df: DataFrame, query: Query) -> DataFrame:
     near = query.marker("near")
     rows = matching(df, query.without("near"))
     rows = ranked(rows, near.field, near.value["vector"], near.value.get("metric", "cosine"))
+    if query.aggregates:
+        return aggregate.simple(rows, query.aggregates)
     return page(rows, query.without("near").order_by("score").order_by("id") if not query.order else query.without("near"))
 
 
@@ -60,11 +64,12 @@ def knn_batch(df: DataFrame, field: str, queries: list[list[float]], k: int, met
         norms = np.linalg.norm(asked, axis=1)
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            fits = np.array([v.is_valid and len(v) == asked.shape[1] for v in rows], dtype=bool)
+            fits = pc.fill_null(pc.equal(pc.list_value_length(rows), asked.shape[1]), False).to_numpy(zero_copy_only=False)
             if not fits.any():
                 continue
             ids = ids[fits]
-            values = np.array([v.as_py() for v, ok in zip(rows, fits) if ok], dtype=np.float64)
+            kept = rows.filter(pa.array(fits))
+            values = kept.flatten().to_numpy(zero_copy_only=False).reshape(len(kept), -1).astype(np.float64)
             dot = asked @ values.T
             if metric == "ip":
                 far = -dot
@@ -88,11 +93,11 @@ def knn_batch(df: DataFrame, field: str, queries: list[list[float]], k: int, met
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def hybrid(df: DataFrame, text_field: str, query: str, vector_field: str, vector: list[float], k: int, rrf_k: int = 60, filters=(), metric: str = "cosine", most_texts: int | None = 4096) -> DataFrame:
+def hybrid(df: DataFrame, text_field: str, query: str, vector_field: str, vector: list[float], k: int, rrf_k: int = 60, filters=(), metric: str = "cosine", most_texts: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of a text ranking and a vector ranking: (id, score), best first.
 
     Texts hold all terms of the query and rank by the sum of tf * ln(1 + N / df), with N all rows and df
-    the rows of a term; the first `most_texts` of them by id take part. Each side is cut to
+    the rows of a term; if `most_texts` is given, only so many of them, by id, take part. Each side is cut to
     max(2 k, 16) ranks. Filters apply before ranks are given. k = 0 gives no row.
     """
     if rrf_k < 1:

@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in `spark.checkpoint.dir`. Only a local session may do without: a folder of
+    one machine would be lost to all others."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_before.get() if set_before.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        named = "file://" + tempfile.mkdtemp(prefix="thicket-checkpoints-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes `df` now and keeps it in the checkpoint folder: `spark.checkpoint.dir` where the session
-    names one, else (local tests) a temporary folder."""
+    """Computes `df` now and keeps it in the checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="thicket-checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -5,10 +5,11 @@ An entry is (name, function of (engine, sf_dir), SQL or None). All run over whol
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -18,6 +19,7 @@ from ..operators.query import Query, anchor
 from ..sources import admin, documents
 from ..sources.collections import Engine, over_tables, union_by_id
 from ..streaming import changes
+from .lineage import shared_folder
 
 Entry = tuple[str, Callable[[Engine, str], DataFrame], str | None]
 
@@ -273,7 +275,7 @@ def _hybrid_sql(where: str = "TRUE") -> str:
     return (
         f"WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang, {TERMS} AS t, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM documents JOIN embeddings ON doc_id = vec_id), "
         f"s AS (SELECT count(*) AS n, {df} FROM b), "
-        f"c AS (SELECT * FROM b WHERE {held} AND {where} ORDER BY id LIMIT 4096), "
+        f"c AS (SELECT * FROM b WHERE {held} AND {where}), "
         f"x AS (SELECT id, row_number() OVER (ORDER BY {weight} DESC, id) AS r FROM c, s QUALIFY r <= 20), "
         f"y AS (SELECT id, row_number() OVER (ORDER BY {_far('cosine')}, id) AS r FROM b, (SELECT {_list(PROBE)} AS q) WHERE {where} QUALIFY r <= 20) "
         "SELECT id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 10"
@@ -290,19 +292,14 @@ RETRIEVAL: list[Entry] = [
         lambda e, _: knn.knn_batch(e.collection("embeddings"), "embedding", PROBES, 5, "cosine").withColumn("score", F.round("score", 6)),
         " UNION ALL ".join(f"(SELECT {i}::INTEGER AS query, row_number() OVER (ORDER BY s, id)::INTEGER AS \"rank\", id, round(s, 6) AS score FROM (SELECT id, {_far('cosine')} AS s FROM ({VECTORS_OF}), (SELECT {_list(p)} AS q)) QUALIFY \"rank\" <= 5)" for i, p in enumerate(PROBES)),
     ),
-    ("knn_approximate", lambda e, _: _scored(indexes.approximate_knn(e.collection("embeddings"), indexes.quantised(e.collection("embeddings"), "embedding"), "embedding", PROBE, 10)), None),
+    ("knn_approximate", lambda e, _: _scored(indexes.approximate_knn(e.collection("embeddings"), indexes.quantised(e.collection("embeddings"), "embedding"), "embedding", PROBE, 10)), _knn_sql("cosine", 10)),
     ("hybrid_rrf", lambda e, _: knn.hybrid(_both(e), "text", "The of", "embedding", PROBE, 10).select("id", F.round("score", 9).alias("score")), _hybrid_sql()),
     ("hybrid_filtered", lambda e, _: knn.hybrid(_both(e), "text", "the of", "embedding", PROBE, 10, filters=Query("").where("lang", "eq", "en").filters).select("id", F.round("score", 9).alias("score")), _hybrid_sql("lang = 'en'")),
 ]
 
 
 def _references(e: Engine) -> DataFrame:
-    parts = [("orders", {"o_custkey": "customer"}), ("customer", {"c_nationkey": "nation"}), ("supplier", {"s_nationkey": "nation"}), ("nation", {"n_regionkey": "region"})]
-    out = None
-    for name, fields in parts:
-        edges = graph.reference_edges(e.collection(name), name, **fields)
-        out = edges if out is None else out.unionByName(edges)
-    return out
+    return e.edges()
 
 
 def _bought(e: Engine, sf_dir: str) -> DataFrame:
@@ -379,6 +376,23 @@ def _levels(e: Engine) -> DataFrame:
     return graph.peel(_references(e), nodes)[0].select("node", "level")
 
 
+def _order_checked(order: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many nodes are in order, and how many edges between them, of which go backwards."""
+    a, b = order.select(F.col("node").alias("src"), F.col("pos").alias("p")), order.select(F.col("node").alias("dst"), F.col("pos").alias("q"))
+    pairs = edges.join(a, "src").join(b, "dst").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("p") >= F.col("q")).alias("backward"))
+    return order.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(pairs)  # two single rows
+
+
+def _cycle_checked(cycle: DataFrame, edges: DataFrame) -> DataFrame:
+    """Whether there is a cycle, and how many of its hops are no edges, or of its nodes repeated."""
+    n = cycle.count()
+    step = cycle.select(F.col("node").alias("src"), F.pmod(F.col("pos") - F.min("pos").over(W.partitionBy(F.lit(0))) + 1, F.lit(max(1, n))).alias("at"))
+    after = cycle.select(F.col("node").alias("dst"), (F.col("pos") - F.min("pos").over(W.partitionBy(F.lit(0)))).alias("at"))
+    missing = step.join(after, "at").join(edges.distinct(), ["src", "dst"], "left_anti").count()
+    repeated = n - cycle.select("node").distinct().count()
+    return cycle.sparkSession.createDataFrame([(n > 0, missing, repeated)], "found boolean, missing long, repeated long")
+
+
 LEVELS = (
     "WITH c AS (SELECT 'customer/' || c_custkey AS node, c_nationkey AS k, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 1 ELSE 0 END AS level FROM customer), "
     "n AS (SELECT 'nation/' || n_nationkey AS node, n_regionkey AS k, coalesce((SELECT 1 + max(level) FROM (SELECT level FROM c WHERE c.k = n_nationkey UNION ALL SELECT 0 FROM supplier WHERE s_nationkey = n_nationkey)), 0) AS level FROM nation), "
@@ -402,6 +416,27 @@ GRAPHS: list[Entry] = [
         "SELECT 'nation/' || n_nationkey AS node, 1::INTEGER AS depth, 'region/1>nation/' || n_nationkey AS path FROM nation WHERE n_regionkey = 1 UNION ALL "
         "SELECT x.node, 2::INTEGER, 'region/1>nation/' || n_nationkey || '>' || x.node FROM nation JOIN (SELECT 'customer/' || c_custkey AS node, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, s_nationkey FROM supplier) x ON x.k = n_nationkey WHERE n_regionkey = 1",
     ),
+    (
+        "graph_bfs_limited",
+        lambda e, _: graph.bfs(_references(e), "region/1", "in", 2, limit=20, include_path=True, existing=_named(e, "region", "nation", "customer")).select("node", "depth", F.array_join("path", ">").alias("path")),
+        # By discovery: nations by name, then each nation's customers; suppliers count as nodes that don't exist.
+        "WITH n AS (SELECT 'nation/' || n_nationkey AS node, n_nationkey FROM nation WHERE n_regionkey = 1), "
+        "x AS (SELECT node, 1::INTEGER AS depth, 'region/1>' || node AS path, node AS a, '' AS b FROM n UNION ALL SELECT 'customer/' || c_custkey, 2, 'region/1>' || node || '>customer/' || c_custkey, node, 'customer/' || c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey) "
+        "SELECT node, depth, path FROM x ORDER BY depth, a, b LIMIT 20",
+    ),
+    (
+        "graph_dijkstra_capped",
+        lambda e, d: graph.dijkstra(_bought(e, d), "orders/1", "both", 2).select("node", "cost", "depth"),
+        # Parts of the order at their own weight, and the orders behind those at two hops, none beyond.
+        "WITH e AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_quantity) AS w FROM lineitem GROUP BY ALL), f AS (SELECT p, w FROM e WHERE o = 1) "
+        "SELECT 'part/' || p AS node, w AS cost, 1::INTEGER AS depth FROM f UNION ALL SELECT 'orders/' || e.o, min(f.w + e.w), 2 FROM f JOIN e ON e.p = f.p WHERE e.o <> 1 GROUP BY e.o",
+    ),
+    (
+        "graph_dijkstra_path",
+        lambda e, _: graph.dijkstra(_references(e), "region/1", "in", 2, include_path=True).select("node", "cost", "depth", F.array_join("path", ">").alias("path")),
+        "SELECT 'nation/' || n_nationkey AS node, 1.0::DOUBLE AS cost, 1::INTEGER AS depth, 'region/1>nation/' || n_nationkey AS path FROM nation WHERE n_regionkey = 1 UNION ALL "
+        "SELECT x.node, 2.0, 2::INTEGER, 'region/1>nation/' || n_nationkey || '>' || x.node FROM nation JOIN (SELECT 'customer/' || c_custkey AS node, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, s_nationkey FROM supplier) x ON x.k = n_nationkey WHERE n_regionkey = 1",
+    ),
     ("graph_dijkstra", lambda e, d: graph.dijkstra(_bought(e, d), "orders/1", "both").select("node", "cost"), _cheapest_sql("orders/1", 24)),
     (
         "graph_simple_paths",
@@ -418,6 +453,16 @@ GRAPHS: list[Entry] = [
     ("graph_analyze", lambda e, _: graph.analyze("degrees", _references(e), _named(e, "nation", "region")), "SELECT 'nation/' || n_nationkey AS node, 0::BIGINT AS in_degree, 1::BIGINT AS out_degree FROM nation UNION ALL SELECT 'region/' || r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey), 0 FROM region"),
     ("graph_degree", lambda e, _: graph.degrees(*_users(e)), f"WITH e AS ({USER_EDGES}) SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS in_degree, (SELECT count(*) FROM e WHERE src = node) AS out_degree FROM ({USER_NODES})"),
     ("graph_topo", lambda e, _: graph.topological_order(_references(e), _named(e, "nation", "region")), None),
+    (
+        "graph_topo_checked",
+        lambda e, _: _order_checked(graph.topological_order(_references(e), _named(e, "nation", "region")), _references(e)),
+        "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS nodes, (SELECT count(*) FROM nation) AS edges, 0::BIGINT AS backward",
+    ),
+    (
+        "graph_cycle_checked",
+        lambda e, _: _cycle_checked(graph.find_cycle(*_users(e)), _users(e)[0]),
+        f"WITH RECURSIVE e AS ({USER_EDGES}), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst) SELECT (SELECT count(*) > 0 FROM w WHERE src = dst) AS found, 0::BIGINT AS missing, 0::BIGINT AS repeated",
+    ),
     ("graph_levels", lambda e, _: _levels(e), LEVELS),
     ("graph_cycle", lambda e, _: graph.find_cycle(*_users(e)), None),
     ("graph_pagerank", lambda e, _: graph.pagerank(*_users(e)).select("node", F.round("score", 9).alias("score")), _rank_sql(None)),
@@ -436,7 +481,7 @@ GRAPHS: list[Entry] = [
     ),
     (
         "graph_traverse_query",
-        lambda e, _: graph.run_traverse(e.collection("customer"), _references(e), Query("customer").where_traverse("region", "1", "in", 2).where("c_acctbal", "gt", 0).order_by("c_acctbal", False).limit(20).select("c_acctbal")),
+        lambda e, _: e.query(Query("customer").where_traverse("region", "1", "in", 2).where("c_acctbal", "gt", 0).order_by("c_acctbal", False).limit(20).select("c_acctbal")),
         "SELECT CAST(c_custkey AS VARCHAR) AS id, 0::BIGINT AS _time, c_acctbal FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND c_acctbal > 0 ORDER BY c_acctbal DESC, 1 LIMIT 20",
     ),
 ]
@@ -475,8 +520,7 @@ def _stream(e: Engine, sf_dir: str) -> DataFrame:
     schema = e.spark.read.parquet(f"{sf_dir}/events.parquet").schema
     log = changes.op_log(e.spark, f"{sf_dir}/events.parquet*", schema, 1)
     log = log.select(F.col("user_id").cast("string").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 16 + F.col("event_id") % 16).alias("_time"), (F.col("event_type") == "error").alias("deleted"), "event_id")
-    folder = e.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="thicket-stream-")
-    at = f"{folder.rstrip('/')}/stream-{e.spark.sparkContext.applicationId}-{id(log)}"
+    at = f"{shared_folder(e.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     changes.ingest(log, f"{at}/versions", f"{at}/state").awaitTermination()
     return changes.state(e.spark, f"{at}/versions", log.schema).select("id", "event_id")
 

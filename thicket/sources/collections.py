@@ -7,11 +7,12 @@ collection that nobody registered is empty. `over_tables` registers the driver's
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import knn
+from ..operators import graph, knn, mutate
 from ..operators.pipeline import Pipeline, run_pipeline
 from ..operators.query import Query, run
 
@@ -23,6 +24,7 @@ class Engine:
         self.spark = spark
         self.sources: dict[str, Source] = {}
         self.keys: dict[str, str] = {}  # whole-number columns that ids are the text of
+        self.edges: Source | None = None
 
     def register(self, name: str, source: Source | DataFrame) -> "Engine":
         self.sources[name] = source if callable(source) else (lambda: source)
@@ -37,11 +39,54 @@ class Engine:
         """Named `parent id/name`, whatever the parent's collection."""
         return self.collection(f"{parent_id}/{name}")
 
+    def link(self, edges: Source | DataFrame) -> "Engine":
+        """Names the edge table that queries with a `traverse` filter walk over."""
+        self.edges = edges if callable(edges) else (lambda: edges)
+        return self
+
     def query(self, q: Query) -> DataFrame:
+        if q.marker("traverse"):
+            if self.edges is None:
+                raise ValueError("a query that walks needs an edge table: Engine.link")
+            spec = q.marker("traverse").value
+            if not self.exists(spec["collection"], spec["id"]):
+                return graph.run_traverse(self.collection(q.collection), self.edges().limit(0), q)
+            return graph.run_traverse(self.collection(q.collection), self.edges(), q)
         if q.marker("near"):
             return knn.run_near(self.collection(q.collection), q)
         return run(self.collection(q.collection), q)
 
+    def first(self, q: Query) -> Row | None:
+        """The first document of a query's result."""
+        return self.query(replace(q, n_limit=1)).first()
+
+    def count(self, q: Query) -> int:
+        """How many rows the filters admit, whatever the page."""
+        return int(self._one(q, "count", None))
+
+    def sum(self, q: Query, name: str) -> float:
+        return self._one(q, "sum", name)
+
+    def avg(self, q: Query, name: str) -> float:
+        return self._one(q, "avg", name)
+
+    def min(self, q: Query, name: str) -> float | None:
+        return self._one(q, "min", name)
+
+    def max(self, q: Query, name: str) -> float | None:
+        return self._one(q, "max", name)
+
+    def _one(self, q: Query, op: str, name: str | None):
+        return self.query(replace(q, aggregates=((op, name),))).first()[0]
+
+    def patch(self, q: Query, values: dict) -> DataFrame:
+        """The collection with these fields set in all rows that the filters admit."""
+        return mutate.patch_where(self.collection(q.collection), q, values)
+
+    def delete(self, q: Query) -> DataFrame:
+        """The collection without the rows that the filters admit."""
+        return mutate.delete_where(self.collection(q.collection), q)
+
     def pipeline(self, p: Pipeline) -> DataFrame:
         return run_pipeline(self.collection, p)
 
@@ -99,6 +144,10 @@ TABLES = {
 }
 
 
+#: Columns that hold ids of another collection.
+REFERENCES = [("orders", {"o_custkey": "customer"}), ("customer", {"c_nationkey": "nation"}), ("supplier", {"s_nationkey": "nation"}), ("nation", {"n_regionkey": "region"})]
+
+
 def _micros(at: str | None) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp")) if at else F.lit(0).cast("bigint")
 
@@ -130,4 +179,13 @@ def over_tables(spark: SparkSession, sf_dir: str) -> Engine:
         return joined.withColumn("flags", flags)
 
     engine.register("orders_items", nested)
+
+    def references() -> DataFrame:
+        out = None
+        for name, fields in REFERENCES:
+            edges = graph.reference_edges(engine.collection(name), name, **fields)
+            out = edges if out is None else out.unionByName(edges)
+        return out
+
+    engine.link(references)
     return engine
