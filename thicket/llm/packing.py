@@ -57,7 +57,7 @@ def _encode(path: str, end: int):
 
 def _cut(length: int, with_ids: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (x.slice(low, 1000) for x in batches for low in range(0, x.num_rows, 1000)):
             rows: list[tuple] = []
             ids_of: list[bytes] = []
             docs, starts, raws = (batch.column(i).to_pylist() for i in range(3))

@@ -21,7 +21,7 @@ BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]
 WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Pre-tokens of one generation of the cache. When it is full it becomes the old one, of which only what
 #: occurs again is carried over, so memory is bounded and frequent words stay.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:
