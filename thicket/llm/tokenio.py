@@ -45,6 +45,8 @@ from . import scratch
 from .tokens import encoder
 
 BLOCK, LANES, SHARD, FITS = 4096, 64, 1 << 20, 0.9
+#: Pre-tokens of one generation of the cache; two generations are held, so that bounds a worker's memory.
+CACHE = 600_000
 MAGIC = b"PFR2"
 SHARDS = "part int, at long, n_docs int, n_ids int, name string, payload binary"
 READ = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -194,7 +196,7 @@ def _write(path: str, end: int, folder: str | None):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path, CACHE).encode, TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         parts: list[bytes] = []
         held = 0

@@ -56,7 +56,7 @@ class Pretokens(dict):
 class Encoder:
     """encode(texts) gives each text's ids as little-endian bytes of two (all ids are below 65,536)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,7 +65,7 @@ class Encoder:
         self.word_level = self.library.model.end_of_word_suffix == "</w>"
         self.pattern = WORD_LEVEL if self.word_level else BYTE_LEVEL
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = Pretokens(self.library.model)
+        self.cache, self.most = Pretokens(self.library.model), most
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -73,17 +73,17 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache.turn()
         words = self.pattern.findall(text.lower() if self.word_level else text)
         return b"".join(map(self.cache.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHE) -> Encoder:
+    """One a Python worker for each vocabulary and size of cache."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
