@@ -11,7 +11,7 @@ import pytest
 
 from tests.llm.cases import frame, texts
 from thicket.llm import licenses, mixing, packing, quality, registry, secrets, tokenio, toxicity
-from thicket.llm.tokens import Encoder
+from thicket.llm.tokens import BYTE_LEVEL, LETTERS, PLAIN, WORD_LEVEL, Encoder
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -169,6 +169,18 @@ def test_encoder_is_the_librarys_on_random_strings(name):
         assert encoder.encode(t) == encoder.whole(t), t
 
 
+def test_patterns_of_the_plain_range():
+    plain = [chr(i) for i in range(1 << 16) if PLAIN.fullmatch(chr(i))]
+    assert [c for c in plain if re.fullmatch(r"[^\W\d_]", c)] == [c for c in plain if re.fullmatch(f"[{LETTERS}]", c)]
+    assert all(PLAIN.fullmatch(c.lower()) for c in plain)
+    byte_level = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    word_level = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    pick, often = np.random.RandomState(2), list("''  \n\t_stredvml0123.,-AŽž")
+    for _ in range(4000):
+        t = "".join((often if k % 3 else plain)[k % len(often if k % 3 else plain)] for k in pick.randint(0, 1 << 20, pick.randint(0, 25)))
+        assert byte_level.findall(t) == BYTE_LEVEL.findall(t) and word_level.findall(t) == WORD_LEVEL.findall(t), t
+
+
 def test_licenses_base(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     extra = [(20, "This is GNU General Public License, version 3 and GPL cc  by/CC-BY"), (21, "All rights reserved all rights reserved")]

@@ -14,11 +14,12 @@ import struct
 
 import numpy as np
 
-#: ASCII without odd controls, and the Latin letters whose case and composition are simple.
+#: Latin letters whose case and composition are simple; the plain range is ASCII without odd controls, and these.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-įı-ňŊ-ž]*")
-#: Pre-token patterns of the two vocabularies, written for the plain range.
-BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Pre-token patterns of the two vocabularies, written for the plain range, letters first: no other branch starts with one.
+BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{LETTERS}0-9]+")
 #: Pre-tokens of one generation of the cache. When it is full it becomes the old one, of which only what
 #: occurs again is carried over, so memory is bounded and frequent words stay.
 CACHE = 150_000
