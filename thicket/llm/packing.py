@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 STORED = "part int, at long, doc_id long, n int, ids binary"
 PIECES = (
@@ -32,13 +32,13 @@ PIECES = (
 )
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, cache: int):
     close = np.array([end], dtype="<u2").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, at = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path, cache).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 1000)
@@ -82,11 +82,12 @@ def _cut(length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """One row a piece; with `with_ids` also the piece's ids as little-endian unsigned 32-bit values."""
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = True, cache: int = CACHE) -> DataFrame:
+    """One row a piece; with `with_ids` also the piece's ids as little-endian unsigned 32-bit values. `cache` bounds the
+    pre-tokens of each of the two generations that a worker keeps."""
     spark = docs.sparkSession
     scratch.workers_import(spark)
-    stored = scratch.table(scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer, end_id), STORED), "packing")
+    stored = scratch.table(scratch.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer, end_id, cache), STORED), "packing")
     # One total for each task of the first pass; Spark's driver holds more than that for each task.
     totals = sorted(stored.groupBy("part").agg(F.sum("n").alias("n")).collect())
     offsets, at = [], 0

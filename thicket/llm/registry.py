@@ -28,7 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 0, with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 0, with_ids=False, cache=tokenio.CACHE)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
