@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns
 documents with the columns it got, but for the last, which returns one row a packed piece. `run`
 writes each stage's result to the folder that all executors share and reads it again, so a lost
-executor never costs more than the stage at hand.
+executor never costs more than the stage at hand; the table before it is deleted then.
 """
 
 from __future__ import annotations
@@ -55,5 +55,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        was, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        if hasattr(was, "scratch_path"):
+            scratch.discard(was)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -322,3 +322,37 @@ def test_url_models_learn_from_every_url(spark, monkeypatch, heavy):
     slope, shift = urls._logistic(ratios(held[0] + held[1]), y, np.where(y == 1, 0.5 / len(held[1]), 0.5 / len(held[0])))
     for (i, u), x in zip(rows[-len(asked) :], ratios([urls.shown(u) for u in asked])):
         assert abs(got[i].rejected - 1 / (1 + math.exp(-(slope * x + shift)))) < 1e-9, u
+
+
+def test_pipeline_keeps_no_copy_of_the_rows(spark):
+    """What the first two stages leave in the shared folder, beside their results, is small against the texts."""
+    import pathlib
+
+    import corpus_pipeline
+    from thicket.llm import scratch
+
+    pick = random.Random(3)
+    rows = [(i, " ".join(pick.choice("the of and to in".split()) + f" {pick.getrandbits(64):x}" for _ in range(800))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    docs = scratch.table(spark.createDataFrame(rows, "doc_id long, text string"), "input")
+    size = lambda: sum(f.stat().st_size for p in scratch._used for f in pathlib.Path(p.removeprefix("file://")).rglob("*") if f.is_file())
+    before = size()
+    of_input = sum(f.stat().st_size for f in pathlib.Path(docs.scratch_path.removeprefix("file://")).rglob("*.parquet"))
+    assert corpus_pipeline.quality_rules(spark, docs, "").count() > 0
+    assert size() - before < 0.2 * of_input
+    before = size()
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(300))
+    assert size() - before < 0.2 * of_input
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_rows_that_share_id_and_text_or_a_bit(spark, monkeypatch, bits):
+    """One whole row of those that share id and text stays, the first; rows that share a bitmap's bit with others stay too."""
+    monkeypatch.setattr(neardup, "LEAST_BITS", bits)
+    monkeypatch.setattr(neardup, "MOST_BITS", bits)
+    rows = [(i, prose(100 + i, 60), i) for i in range(40)] + [(i, prose(100 + i, 60), 100 + i) for i in range(0, 40, 4)]
+    rows += [(None, prose(7, 60), 200), (None, prose(7, 60), 201), (50, prose(107, 60), 202), (None, None, 203), (None, None, 204), (3, " ", 205)]
+    kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(1))
+    want = [*range(40), 200, 203, 204, 205]
+    assert sorted(r.n for r in kept.collect()) == want
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[2] in want)

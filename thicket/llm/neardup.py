@@ -22,8 +22,9 @@ those nodes' keys drop nearly all other rows before they are shuffled; they have
 than wanted pass, and are shuffled. Joins on a text's digest or a class meet hot keys (copies of one text)
 and rely on Spark's splitting of skewed partitions; texts without words have no key and are kept out.
 
-`deduplicate` numbers the rows in a table of its own, and rows that go are dropped where they lie, by an exact
-bitmap of row numbers (1 bit a row; past `EXACT` rows by a join).
+`deduplicate` writes no copy of the rows. What it drops is named by doc_id and the text's digest: a bitmap of those
+names lets most rows that stay through where they lie, and only the others are joined with the names themselves. Of
+rows that share the name that stays, one is chosen by an aggregation of those rows alone.
 
 Defined cases: a null text and one without words is alone in its class, and `deduplicate` keeps all of
 those; a class's id is its least doc_id, null if all are null; rows with one doc_id and different texts
@@ -48,8 +49,6 @@ SIMILARITY, BANDS, ROWS = 0.8, 28, 6
 BLOCK = 256
 #: Bits of a bitmap at least and at most, and bits of one of its pages.
 LEAST_BITS, MOST_BITS, PAGE = 1 << 26, 1 << 30, 1 << 15
-#: Rows whose numbers an exact bitmap may tell (128 MB).
-EXACT = 1 << 30
 
 
 def _key(text: Column) -> Column:
@@ -222,18 +221,23 @@ def _pages(spots: DataFrame) -> DataFrame:
     return F.broadcast(at.groupBy("_page").agg(F.expr("bitmap_construct_agg(p)").alias("_bits")))
 
 
-def _among(rows: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
-    """Rows whose hash is that of a wanted row, and few others."""
+def _paged(rows: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column, how: str) -> DataFrame:
+    """Rows beside their page of a bitmap of wanted rows' hashes."""
     bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * wanted.count()).bit_length()))
     spot = lambda h: F.pmod(h, F.lit(bits).cast("long"))
     at = rows.withColumn("_spot", spot(hashed)).withColumn("_page", F.floor(F.col("_spot") / PAGE).cast("long"))
-    found = at.join(_pages(wanted.select(spot(wanted_hash).alias("s"))), "_page").filter(_on(F.col("_bits"), F.col("_spot") % PAGE))
+    return at.join(_pages(wanted.select(spot(wanted_hash).alias("s"))), "_page", how)
+
+
+def _among(rows: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """Rows whose hash is that of a wanted row, and few others."""
+    found = _paged(rows, hashed, wanted, wanted_hash, "inner").filter(_on(F.col("_bits"), F.col("_spot") % PAGE))
     return found.drop("_page", "_bits", "_spot")
 
 
-def _classed(texts: DataFrame, least: float, size: int, bands: int, rows: int) -> DataFrame:
+def _classed(texts: DataFrame, least: float, size: int, bands: int, rows: int) -> tuple[DataFrame, list[DataFrame]]:
     """texts: row, doc_id, raw, key. Gives row, doc_id, key and, for texts with words, class_id and stays (the
-    row that stands for the class)."""
+    row that stands for the class); and the tables that can be discarded once that is written."""
     signed = texts.select("row", "raw", "key", "doc_id").mapInArrow(_sign(size, bands, rows), "row long, key binary, bands array<long>, doc_id long")
     signed = scratch.table(signed, "signatures")
     worded = signed.filter("key IS NOT NULL")
@@ -295,7 +299,8 @@ def _classed(texts: DataFrame, least: float, size: int, bands: int, rows: int) -
     class_of = distinct.join(linked, "node", "left").select("key", of["doc_id"].alias("class_id"), of["row"].alias("stays"))
     class_of = scratch.table(class_of, "classes")
     plain = signed.filter("key IS NULL").select("row", "doc_id", "key", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("stays"))
-    return worded.select("row", "doc_id", "key").join(class_of, "key").select("row", "doc_id", "key", "class_id", "stays").unionByName(plain)
+    found = worded.select("row", "doc_id", "key").join(class_of, "key").select("row", "doc_id", "key", "class_id", "stays")
+    return found.unionByName(plain), [signed, distinct, nodes, class_of]
 
 
 def _texts(rows: DataFrame, row: Column) -> DataFrame:
@@ -307,25 +312,36 @@ def classes(docs: DataFrame, least: float = SIMILARITY, size: int = SIZE, bands:
     scratch.workers_import(docs.sparkSession)
     # Only the first scan's row numbers are used: they are written with the signatures.
     texts = _texts(scratch.only(docs, "doc_id", "text"), F.monotonically_increasing_id())
-    found = _classed(texts, least, size, bands, rows)
+    found, _ = _classed(texts, least, size, bands, rows)
     return found.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents with one row of each class. Texts without words all stay."""
     scratch.workers_import(docs.sparkSession)
+    # Only the first scan's row numbers are used, to choose the row of a class.
+    texts = _texts(scratch.only(docs, "doc_id", "text"), F.monotonically_increasing_id())
+    found, made = _classed(texts, least, SIZE, BANDS, ROWS)
+    names = found.filter("key IS NOT NULL").groupBy("doc_id", "key").agg(F.max(F.col("row") == F.col("stays")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = scratch.table(names.filter("NOT stays OR n > 1").select("doc_id", "key", "stays"), "marked")
+    for table in made:
+        scratch.discard(table)
+
     rows, back = scratch.beside(docs, "doc_id", "text")
     whole = [f"c{i}" for i in range(len(back))]
-    rows = scratch.table(rows.select(*whole, F.monotonically_increasing_id().alias("_row")), "rows")
-    at = {n: f"c{docs.columns.index(n)}" for n in ("doc_id", "text")}
-    found = _classed(_texts(rows.select("_row", *(F.col(c).alias(n) for n, c in at.items())), F.col("_row")), least, SIZE, BANDS, ROWS)
-    gone = scratch.table(found.filter("key IS NOT NULL AND row <> stays").select("row"), "gone")
-    if gone.count() > EXACT:
-        return rows.join(gone, F.col("_row") == F.col("row"), "left_anti").select(*back)
-    # Numbers are dense within a partition, so pages are full.
-    paged = rows.withColumn("_page", F.floor(F.col("_row") / PAGE).cast("long"))
-    stay = paged.join(_pages(gone.select(F.col("row").alias("s"))), "_page", "left")
-    return stay.filter(F.col("_bits").isNull() | ~_on(F.col("_bits"), F.col("_row") % PAGE)).select(*back)
+    rows = rows.select(*whole, F.col("doc_id").cast("long").alias("_id"), _key(F.col("text")).alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    known = lambda i, k: F.xxhash64(F.coalesce(i, F.lit(-1)), k)
+    paged = _paged(rows, known("_id", "_key"), marked, known("doc_id", "key"), "left")
+    hit = F.col("_key").isNotNull() & F.col("_bits").isNotNull() & _on(F.col("_bits"), F.col("_spot") % PAGE)
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    # Spark would push an anti join below the bitmap, and shuffle all rows.
+    alone = paged.filter(hit).join(marked, same, "left").filter("stays IS NULL")
+    out = paged.filter(~hit).select(*whole).unionByName(alone.select(*whole))
+    tied = marked.filter("stays")
+    if not tied.isEmpty():
+        first = paged.filter(hit).join(tied, same).groupBy("_id", "_key").agg(F.min_by(F.struct(*whole), "_row").alias("_of"))
+        out = out.unionByName(first.select("_of.*"))
+    return out.select(*back)
 
 
 def sql(documents: str = "documents", least: float = SIMILARITY, size: int = SIZE) -> str:

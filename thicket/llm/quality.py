@@ -193,16 +193,17 @@ def _stats_column(raw: pa.Array) -> pa.Array:
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept, with the input's columns.
 
-    Statistics are computed beside the rows, which are written once with their votes, so that no
-    join by id is needed and repeated or missing ids don't matter. Only texts go to Python.
+    Statistics are computed twice, once to count the votes and once beside the rows, so that neither a copy of
+    the rows nor a join by id is needed and repeated or missing ids don't matter. Only texts go to Python.
     """
     scratch.workers_import(docs.sparkSession)
     rows, back = scratch.beside(docs, "text")
     whole = [f"c{i}" for i in range(len(back))]
-    measure = F.arrow_udf(_stats_column, ", ".join(f"{s} long" for s in STATS))
+    # Called deterministic it would be run once for the filter and again for the votes.
+    measure = F.arrow_udf(_stats_column, ", ".join(f"{s} long" for s in STATS)).asNondeterministic()
     rows = rows.select(*whole, measure(F.col("text").cast("binary")).alias("of")).select(*whole, "of.*")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     cast = [v.alias(f"vote_{n}") for n, v in rules().items()]
-    rows = scratch.table(rows.select(*whole, *cast, failed.alias("failed")), "quality")
+    rows = rows.select(*whole, *cast, failed.alias("failed"))
     of, votes = _model(rows)
     return rows.filter("NOT failed").join(F.broadcast(of), votes).filter(F.col("posterior") >= threshold).select(*back)
