@@ -539,3 +539,77 @@ def test_engine_terminals_and_walking_queries(spark):
     engine.link(spark.createDataFrame([("p/1", "p/2"), ("p/2", "p/5"), ("p/2", "p/77"), ("p/5", "p/8")], "src string, dst string"))
     assert [r.id for r in engine.query(walk).collect()] == ["2", "5"]
     assert engine.count(walk) == 2 and engine.query(Query("p").where_traverse("p", "77", "in", 2)).count() == 0
+
+
+def brute_communities(pairs, nodes, rounds=32):
+    near = {n: set() for n in nodes}
+    for a, b in pairs:
+        if a != b and a in near and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    label = {n: n for n in nodes}
+    for _ in range(rounds):
+        was = dict(label)
+        for n in sorted(nodes):
+            votes = [label[m] for m in near[n]]
+            if votes:
+                label[n] = min(set(votes), key=lambda x: (-votes.count(x), x))
+        if was == label:
+            break
+    least = {}
+    for n in sorted(nodes):
+        least.setdefault(label[n], n)
+    return [(least[label[n]], n) for n in sorted(nodes)]
+
+
+@pytest.mark.parametrize("block, held, passes", [(1 << 20, 1 << 20, 16), (40, 0, 16), (40, 1 << 20, 2)])
+def test_communities_in_blocks(spark, monkeypatch, block, held, passes):
+    """Whatever the blocks, read again or held, in passes or node by node: as one node after the other."""
+    for name, value in (("BLOCK", block), ("HELD", held), ("PASSES", passes)):
+        monkeypatch.setattr(graph, name, value)
+    pick = random.Random(block + passes)
+    names = [f"n{i}" for i in range(70)] + ["é", "z🙂"]
+    pairs = [(pick.choice(names), pick.choice(names)) for _ in range(130)] + list(zip(names[:40], names[1:41])) + [("n1", "gone"), ("n3", "n3")]
+    pairs += [("n5", n) for n in names[:60]]
+    got = graph.communities(edges_of(spark, *((a, b, 1) for a, b in pairs)), nodes_of(spark, names)).collect()
+    assert [tuple(r) for r in got] == brute_communities(pairs, names)
+    assert graph.communities(edges_of(spark, ("a", "b", 1)), nodes_of(spark, "xy")).count() == 2
+
+
+def test_a_block_in_passes_and_one_by_one(monkeypatch):
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    for kind in range(6):
+        n = 60
+        near = np.triu(pick.random((n, n)) < (0.05, 0.2, 0.6, 1.0, 0.05, 0.0)[kind], 1)
+        near |= np.eye(n, k=1, dtype=bool) if kind > 3 else False
+        near |= near.T
+        a = np.flatnonzero(near.any(axis=1))
+        b = np.concatenate([np.flatnonzero(near[i]) for i in a]).astype("<i4")
+        for passes in (1, 3, 100):
+            monkeypatch.setattr(graph, "PASSES", passes)
+            label, want = np.arange(n), np.arange(n)
+            for _ in range(4):
+                was = want.copy()
+                for i in a:
+                    kinds, counts = np.unique(want[near[i]], return_counts=True)
+                    want[i] = kinds[np.argmax(counts)]
+                assert graph._propagate(a, near[a].sum(axis=1), b, label) == bool((was != want).any())
+                assert label.tolist() == want.tolist()
+
+
+def test_ordered_results_have_no_bound_of_edges(spark):
+    """More edges than the two million at which there was an error: 2,100 nodes, each with an edge to all that follow, and one back."""
+    n = 2100
+    name = lambda c: F.format_string("n%04d", c)
+    nodes = spark.range(n).select(name("id").alias("node"))
+    down = nodes.select(F.col("node").alias("src")).join(nodes.select(F.col("node").alias("dst")), F.col("src") < F.col("dst"))
+    assert down.count() > 2_000_000
+    assert [r.node for r in graph.topological_order(down, nodes).collect()] == [f"n{i:04d}" for i in range(n)]
+    ring = down.union(spark.createDataFrame([("n2099", "n0000")], "src string, dst string"))
+    assert [r.node for r in graph.find_cycle(ring, nodes).collect()] == [f"n{i:04d}" for i in range(n)]
+    assert graph.topological_order(ring, nodes).count() == 0
+    assert {r.community for r in graph.communities(down, nodes).collect()} == {"n0000"}
+    with pytest.raises(ValueError, match="at most 10 "):
+        graph.communities(down, nodes, most=10)
