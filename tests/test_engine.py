@@ -613,3 +613,31 @@ def test_ordered_results_have_no_bound_of_edges(spark):
     assert {r.community for r in graph.communities(down, nodes).collect()} == {"n0000"}
     with pytest.raises(ValueError, match="at most 10 "):
         graph.communities(down, nodes, most=10)
+
+
+def test_cheapest_routes_of_so_many_hops(spark):
+    """A cheap route of 30 hops beside a dear one of 25: 24 rounds reach neither's end, 25 the dear one, 30 the cheap one."""
+    cheap = [(f"a{i:02d}", f"a{i + 1:02d}", 1) for i in range(30)]
+    dear = [("a00", "b01", 9), *((f"b{i:02d}", f"b{i + 1:02d}", 9) for i in range(1, 24)), ("b24", "a30", 9)]
+    edges = edges_of(spark, *cheap, *dear)
+    cost = lambda rounds: {r.node: r.cost for r in graph.dijkstra(edges, "a00", rounds=rounds).collect()}
+    assert "a30" not in cost(24) and cost(25)["a30"] == 225.0 and cost(30)["a30"] == cost(None)["a30"] == 30.0
+    assert cost(24)["a24"] == 24.0 and "a25" not in cost(24)
+
+
+def test_cheapest_query_where_cheap_routes_are_long(spark, tmp_path):
+    """Orders and parts in a chain of 60 hops: the query's costs are those of its SQL, on rows where more rounds find more."""
+    import duckdb
+
+    from thicket.plans import queries as engine
+
+    rows = [(k // 2 + 1, (k + 1) // 2, 1.0) for k in range(60)] + [(1, 14, 900.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(c.sql(engine.oracle_sql()["graph_dijkstra"]).fetchall())
+    bought = dict((n, run) for n, run, _ in engine.ENTRIES)["graph_dijkstra"]
+    from thicket.sources.collections import Engine
+
+    assert sorted(tuple(r) for r in bought(Engine(spark), str(tmp_path)).collect()) == want
+    assert any(cost > 800 for _, cost in want)
