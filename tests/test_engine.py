@@ -615,6 +615,24 @@ def test_ordered_results_have_no_bound_of_edges(spark):
         graph.communities(down, nodes, most=10)
 
 
+@pytest.mark.parametrize("vector, rounds", [(1 << 22, 30), (0, 3)])
+def test_pagerank_sent_and_joined(spark, monkeypatch, vector, rounds):
+    monkeypatch.setattr(graph, "VECTOR_NODES", vector)
+    monkeypatch.setattr(graph, "BLOCK", 30)
+    pick = random.Random(4)
+    names = [f"n{i}" for i in range(40)]
+    pairs = {(pick.choice(names), pick.choice(names[:30])) for _ in range(150)} | {(n, "n0") for n in names[:35]} | {("n1", "gone")}
+    for seeds in (None, ["n3", "n4", "no"]):
+        known = [(a, b) for a, b in pairs if b != "gone"]
+        start = {n: 1 / 40 if not seeds else (n in seeds) / 2 for n in names}
+        score = dict(start)
+        for _ in range(rounds):
+            score = {n: 0.15 * start[n] + 0.85 * sum(score[a] / sum(c == a for c, _ in known) for a, b in known if b == n) for n in names}
+        got = {r.node: r.score for r in graph.pagerank(edges_of(spark, *((a, b, 1) for a, b in pairs)), nodes_of(spark, names), seeds=seeds, rounds=rounds).collect()}
+        assert got.keys() == score.keys() and all(abs(got[n] - score[n]) < 1e-12 for n in names)
+    assert graph.pagerank(edges_of(spark, ("a", "b", 1)), nodes_of(spark, "")).count() == 0
+
+
 def test_cheapest_routes_of_so_many_hops(spark):
     """A cheap route of 30 hops beside a dear one of 25: 24 rounds reach neither's end, 25 the dear one, 30 the cheap one."""
     cheap = [(f"a{i:02d}", f"a{i + 1:02d}", 1) for i in range(30)]
